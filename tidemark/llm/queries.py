@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import dac, pack
+from tidemark.llm import dac, decontam, langmix, pack, quality
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    return langmix.predict(spark, docs, langmix.train(docs.where("not held_out")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).drop("ids")
 
@@ -23,7 +37,7 @@ def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_hilbert_packing, op10_dac_tokens)}
+    return {f.__name__: f for f in (op3_language_mixture, op5_quality, op8_decontamination, op9_hilbert_packing, op10_dac_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
