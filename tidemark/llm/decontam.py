@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
             terms, first = np.unique(ids[order], return_index=True)
             names = list(local)
             heads = [_DOCS] + [names[t] for t in terms]
-            ends = [*first[1:], len(order)]
+            ends = np.append(first[1:], len(order))[: len(first)]
             listing = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
             lists = [listing] + [np.diff(order[a:b], prepend=0).astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)]
             counts = [len(doc_ids)] + [int(b - a) for a, b in zip(first, ends, strict=True)]
@@ -194,7 +194,8 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
         near: list[set] = [set() for _ in range(n)]
         order = np.argsort(doc, kind="stable")
         doc, which, start = doc[order], which[order], start[order]
-        for d, a, b in zip(*(lambda u, i: (u, i, [*i[1:], len(doc)]))(*np.unique(doc, return_index=True)), strict=True):
+        hit, first = np.unique(doc, return_index=True)
+        for d, a, b in zip(hit, first, np.append(first[1:], len(doc))[: len(hit)], strict=True):
             own = start[a:b] - p.starts[d]
             spans[d] = np.stack([own, own + np.array(sizes)[which[a:b]]], 1).astype("<u4").tobytes()
             by_item[d].update(x for w in np.unique(which[a:b]) for x in items[w])
