@@ -8,21 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import dac, decontam, langmix, pack, quality
+from tidemark.llm import chat, dac, decontam, ego, langmix, licenses, omh, oracles, pack, quality
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
     return langmix.predict(spark, docs, langmix.train(docs.where("not held_out")))
 
 
+def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)", {"t": said})
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.expand(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), digest(F.col("loss_text")).alias("loss_sha256"), "formatted_chars")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
+def op7_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,8 +59,8 @@ def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_mixture, op5_quality, op8_decontamination, op9_hilbert_packing, op10_dac_tokens)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_language_mixture, op4_chat_prefixes, op5_quality, op6_license_rules, op7_epsilon_grid, op8_decontamination, op9_hilbert_packing, op10_dac_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_prefixes": oracles.OP4_CHAT, "op6_license_rules": oracles.OP6_LICENSES}
