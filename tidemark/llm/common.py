@@ -103,7 +103,7 @@ class WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         self[word] = h
         return h
 

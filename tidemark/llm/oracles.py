@@ -46,6 +46,6 @@ seqs AS (
   SELECT d.doc_id, coalesce(h.n, 0) AS n_sentences, coalesce(h.sequence, '') AS sequence FROM documents d
   LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS sequence FROM hits GROUP BY doc_id) h ON d.doc_id = h.doc_id)
 SELECT doc_id, n_sentences, sequence,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{_RULES}], x -> x IS NOT NULL))), ','), '') AS licenses
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{_RULES}], lambda x: x IS NOT NULL))), ','), '') AS licenses
 FROM seqs
 """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, dac, decontam, ego, langmix, licenses, omh, oracles, pack, quality
+from tidemark.llm import chat, dac, decontam, ego, fm, langmix, licenses, omh, oracles, pack, quality
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.passages(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
     return langmix.predict(spark, docs, langmix.train(docs.where("not held_out")))
@@ -59,7 +63,7 @@ def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op3_language_mixture, op4_chat_prefixes, op5_quality, op6_license_rules, op7_epsilon_grid, op8_decontamination, op9_hilbert_packing, op10_dac_tokens)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_fm_substrings, op3_language_mixture, op4_chat_prefixes, op5_quality, op6_license_rules, op7_epsilon_grid, op8_decontamination, op9_hilbert_packing, op10_dac_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
