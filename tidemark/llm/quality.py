@@ -209,3 +209,23 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
     train = scratch.save(labelled(stats.where("not held_out and doc_id is not null"), labels), "train")
     scored = score(spark, stats, fit(train))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accept(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; texts are scored in place, not shuffled.
+
+    Learns as :func:`quality` does; nulls, empty texts and repeated rows are treated as there.
+    """
+    scratch = scratch or Scratch(spark, "quality")
+    stats = scratch.save(describe(docs), "stats")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(scratch.save(labelled(stats.where("doc_id is not null").where(~held), labels), "train"))
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics(t) for (t,) in rows(b, "text")], np.float64)
+                yield b.filter(pa.array(sent.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
