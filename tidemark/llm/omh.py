@@ -20,6 +20,8 @@ from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
 from tidemark.llm.graph import components
 
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
+#: Further sketches by which a bucket of several classes is dealt again.
+FINER = 2
 
 
 def labelled(text: str) -> np.ndarray:
@@ -51,33 +53,39 @@ def sketches(h: np.ndarray, count: int = SKETCHES, size: int = TUPLE) -> np.ndar
     return mix64(out)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned shingles over all shingles; 0 where it must be under ``least``.
+def distance(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[int, bool]:
+    """Shingles of a and b that the best alignment leaves out, and whether the pair reaches ``least``.
 
-    An alignment that reaches ``least`` leaves at most ``spare`` shingles out, so it stays
-    within that band of the diagonal.  Labelled shingles are unique in a sequence: the best alignment is the longest rising run
-    of places in b over those of a.
+    An alignment that reaches ``least`` leaves at most ``spare`` shingles out, so it stays within that band of the diagonal;
+    outside it the number is a lower bound.  Labelled shingles are unique in a sequence: the best alignment is the longest rising
+    run of places in b over those of a, and the number left out is a metric.
     """
     total = len(a) + len(b)
+    spare = int(total * (1 - least) / (1 + least) + 1e-9)
     if not len(a) or not len(b):
-        return 0.0
-    spare = int(total - 2 * least / (1 + least) * total + 1e-9)
+        return total, False
     if abs(len(a) - len(b)) > spare:
-        return 0.0
+        return abs(len(a) - len(b)), False
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     near = np.abs(i - j) <= spare
-    i, j = i[near], j[near]
-    if len(i) < least * (total - len(i)) - 1e-9:
-        return 0.0
+    if total - 2 * int(near.sum()) > spare:
+        return total - 2 * len(i), False
     ends: list[int] = []
-    for place in j[np.argsort(i)].tolist():
+    for place in j[near][np.argsort(i[near])].tolist():
         k = bisect_left(ends, place)
         if k == len(ends):
             ends.append(place)
         else:
             ends[k] = place
-    value = len(ends) / (total - len(ends))
-    return value if value >= least - 1e-12 else 0.0
+    left = total - 2 * len(ends)
+    return (left, True) if left <= spare else (spare + 1, False)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Aligned shingles over all shingles; 0 where it is under ``least``."""
+    left, good = distance(a, b, least)
+    total = len(a) + len(b)
+    return (total - left) / (total + left) if good else 0.0
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
@@ -96,30 +104,35 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+    """(a, b, d, n_a, n_b, ok): what the alignment of each pair leaves out (or less), their lengths in shingles, and whether they link."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, h = None, None
         for batch in batches:
-            good = []
+            out: list[list] = [[] for _ in range(4)]
             for a, text_a, text_b in rows(batch, "a", "text_a", "text_b"):
                 if a != last:
                     last, h = a, labelled(text_a)
-                good.append(similarity(h, labelled(text_b), least) > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                g = labelled(text_b)
+                d, ok = distance(h, g, least)
+                for c, v in zip(out, (d, len(h), len(g), ok), strict=True):
+                    c.append(v)
+            new = [pa.array(c, pa.bool_() if i == 3 else pa.int64()) for i, c in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["a", "b", "d", "n_a", "n_b", "ok"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d long, n_a long, n_b long, ok boolean")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, class_id, kept) for each row of ``docs`` (doc_id, text); class_id is the smallest doc_id linked to it.
 
     Equal texts form one class, whose smallest doc_id stands for it.  In each bucket of equal sketches
-    the smallest text is compared with the others; classes are formed; a bucket whose texts are then not all of one class is
-    dealt again, without the text that has met all others, by that sketch and each further one.  That ends when every bucket
-    is of one class or empty, so no bucket's pairs are all written and none is cut off.
+    the smallest text, the pivot, is compared with the others, and classes are formed.  A bucket whose texts are then not all of
+    one class is dealt again without its pivot, by that sketch and each of the next ``FINER``; of the pivot's own class only
+    those texts go on that can link with one outside by the triangle inequality of the alignment distance.  That ends when every
+    bucket is of one class or empty: no bucket's pairs are all written, and none is cut off.
     Texts with fewer than five words have one shingle of all their words; null texts, texts without words and
     null doc_ids are their own class (equal non-null texts share one); order of rows and ties do not matter; repeated rows
     give repeated rows.  Other columns are ignored.
@@ -130,38 +143,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     members = scratch.save(table.select("doc_id", "digest").distinct().join(groups, "digest").select("doc_id", "rep"), "members")
     reps = table.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = reps.where(F.size("keys") > 0)
-    level = scratch.save(reps.select("doc_id", F.explode("keys").alias("bucket")), "level0")
+    level = scratch.save(reps.select("doc_id", F.posexplode("keys").alias("at", "bucket")), "level0")
     full = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    level = scratch.save(level.join(full, "bucket"), "level1")
-    scratch.drop("level0")
+    level = scratch.save(level.join(full, "bucket").select("doc_id", "at", "bucket", "pivot"), "level1")
     wanted = level.select("doc_id").distinct()
-    texts = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     keys = scratch.save(table.select("doc_id", "keys").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "keys")
-    scratch.drop("sketches")
-    links = tried = found = None
+    scratch.drop("level0", "sketches")
+    texts = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(keys.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    share = (1 - least) / (1 + least)
+    done = found = None
     k = 1
     while True:
         pairs = level.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
         if found is not None:
             cls = found.withColumnRenamed("component", "cls")
             pairs = pairs.join(cls.select(F.col("id").alias("a"), F.col("cls").alias("ca")), "a", "left").join(cls.select(F.col("id").alias("b"), F.col("cls").alias("cb")), "b", "left")
-            pairs = pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{k}")
-        new = scratch.save(_verify(pairs, texts, least), f"links{k}")
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found is None or new.limit(1).count():
-            found = components(links, scratch, f"cc{k}_")
-        # Buckets of more than one class go on, without their pivot, by one more sketch each
-        own = level.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("cls", F.coalesce("component", "doc_id"))
-        mixed = own.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket")
-        rest = own.join(mixed, "bucket", "left_semi").where("doc_id <> pivot").select("bucket", "doc_id", "cls")
-        finer = rest.join(keys, "doc_id").select("doc_id", "cls", "bucket", F.explode("keys").alias("next")).select("doc_id", "cls", F.when(F.col("bucket") != F.col("next"), F.xxhash64("bucket", "next")).alias("bucket"))
-        finer = scratch.save(finer.where("bucket is not null"), f"finer{k}")
+            pairs = pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
+        new = scratch.save(_verify(pairs, texts, least), f"pairs{k}")
+        done = new if done is None else done.unionByName(new)
+        if found is None or new.where("ok").limit(1).count():
+            found = components(done.where("ok"), scratch, f"cc{k}_")
+        # What goes on to the next level: all outside the pivot's class, and of its class what may link with those
+        own = level.where("doc_id <> pivot").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
+        own = own.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d", F.col("n_b").alias("n")), ["pivot", "doc_id"], "left")
+        own = own.select("doc_id", "at", "bucket", F.coalesce("c", "doc_id").alias("cls"), (F.coalesce("c", "doc_id") != F.coalesce("pc", "pivot")).alias("outside"), "d", "n")
+        inner = own.where("outside").groupBy("bucket").agg(F.min(F.coalesce(F.col("d") - share * F.col("n"), F.lit(float("-inf")))).alias("edge"), F.count(F.lit(1)).alias("n_out"))
+        rest = own.join(inner, "bucket").where(F.col("outside") | F.col("d").isNull() | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6))
+        steps = F.array(*(F.lit(i + 1) for i in range(FINER)))
+        finer = rest.join(keys, "doc_id").select("doc_id", "cls", "bucket", "keys", "at", F.explode(steps).alias("step"))
+        finer = finer.withColumn("at", (F.col("at") + F.col("step")) % F.size("keys"))
+        finer = scratch.save(finer.select("doc_id", "cls", "at", F.xxhash64("bucket", F.get("keys", F.col("at"))).alias("bucket")).distinct(), f"finer{k}")
         full = finer.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("doc_id").alias("pivot")).where("lo <> hi").select("bucket", "pivot")
         scratch.drop(f"level{k}")
         k += 1
-        level = scratch.save(finer.join(full, "bucket").select("doc_id", "bucket", "pivot"), f"level{k}")
+        level = scratch.save(finer.join(full, "bucket").select("doc_id", "at", "bucket", "pivot"), f"level{k}")
         scratch.drop(f"finer{k - 1}")
         if not level.limit(1).count():
             break
