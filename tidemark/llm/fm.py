@@ -178,7 +178,7 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     """
     scratch = scratch or Scratch(spark, "fm")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("th")]
-    keyed = docs.select(*docs.columns, *key)
+    keyed = docs.select("text", *key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +234,13 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     per = scratch.save(per, "runs")
     scratch.drop("slices", "segs", "places", "hits")
     added = ["n_words", "n_removed", "kept_sha256", "spans", "kept"]
-    left = [c for c in docs.columns if c not in added]
+    left = [c for c in docs.columns if c.lower() not in added]
+    ticked = [f"`{c}`" for c in left]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, runs in rows(batch, "text", "runs"):
+            for text, runs in rows(batch, "text", "__runs"):
                 w = words(text)
                 gone = np.zeros(len(w) + 1, np.int64)
                 if runs:
@@ -253,5 +254,7 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
             new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in left), *new], names=[*left, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*left).schema.fields), "n_words long, n_removed long, kept_sha256 string, spans binary, kept string"])
-    return keyed.select(*left, "d", "th").join(per, ["d", "th"], "left").mapInArrow(keep, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*ticked).schema.fields), "n_words long, n_removed long, kept_sha256 string, spans binary, kept string"])
+    own = docs.select(*ticked, key[0].alias("__d"), key[1].alias("__th"))
+    runs = per.withColumnsRenamed({"d": "__d", "th": "__th", "runs": "__runs"})
+    return own.join(runs, ["__d", "__th"], "left").mapInArrow(keep, schema)

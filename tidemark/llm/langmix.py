@@ -98,15 +98,15 @@ def identify(p: np.ndarray, bag: np.ndarray, penalty: float = 4.0) -> tuple[list
     return [int(chosen[i]) for i in best], full[chosen[best]]
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0) -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, langs, shares) for each row of ``docs`` (doc_id, text); no shuffle.
 
     Null text, a text without letters and an empty model give ``und`` with score 0; ties go to the first
-    language by name; repeated rows are predicted alike; no rows give none.  Other columns pass unseen and are dropped
-    but ``held_out``, where it is there.
+    language by name; repeated rows are predicted alike; no rows give none.  Other columns are ignored but the boolean ones
+    in ``carry``, which pass unseen.
     """
     sent = spark.sparkContext.broadcast(model)
-    extra = [c for c in ("held_out",) if c in docs.columns]
+    extra = list(carry)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p = sent.value

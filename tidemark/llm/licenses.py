@@ -46,7 +46,7 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 #: Each known sentence has one of these words, so a text without any has none of them.
-TRIGGERS = "licen|permission|copyright|software|rights reserved"
+TRIGGERS = "licen|permission|copyright|software|rights reserved|warranty"
 
 
 def recognise(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def op2_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
-    return langmix.predict(spark, docs, langmix.train(docs.where("not held_out")))
+    return langmix.predict(spark, docs, langmix.train(docs.where("not held_out")), carry=("held_out",))
 
 
 def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
