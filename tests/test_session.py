@@ -85,3 +85,35 @@ def test_catalog_alter_views_and_access(db, spark, tmp_path):
     with pytest.raises(PermissionError):
         own.sql("INSERT INTO t (a) VALUES (1)")
     assert own.table("t").columns == ["a"]
+
+
+def test_published_snapshot_and_statistics(db):
+    key = ".".join(db.catalog.key("users"))
+    fields = db.catalog.table("users").fields()
+    at = db.log.publish(key, fields)
+    assert db.statistics("users") is db.statistics("users")
+    db.sql("DELETE FROM users WHERE id = 1")
+    db.sql("UPDATE users SET age = 99 WHERE id = 2")
+    assert db.log._published(key, None) == at
+    assert sorted((r.id, r.age) for r in db.table("users").collect()) == [(2, 99), (3, 50)]
+    assert {r["column"]: r.row_count for r in db.statistics("users").collect()}["id"] == 2
+    assert db.log.publish(key, fields) == db.log.head()
+    assert ids(db) == [2, 3]
+
+
+def test_typed_definitions_and_trim(db, spark):
+    from tidemark.operators.journal import TrimUnsafe, trim
+    from tidemark.plans import ddl
+
+    ddl.apply(db, ddl.CreateTable("typed", [("a", "BIGINT"), ("b", "TEXT NOT NULL")], ["a"]))
+    ddl.apply(db, ddl.CreateIndex("by_b", "typed", ["b"], unique=True))
+    assert db.catalog.table("typed").indexes == {"by_b": (["b"], True)}
+    ddl.apply(db, ddl.DropIndex("by_b"))
+    ddl.apply(db, ddl.DropTable("typed"))
+    with pytest.raises(ddl.Unsupported):
+        ddl.apply(db, ddl.RenameTable("users", "people"))
+    segments = spark.createDataFrame([(0, 10), (1, 20), (2, 30)], "segment long, end_seq long")
+    assert [r.segment for r in trim(segments, 25, 20).collect()] == [0, 1]
+    for floor in (None, 5):
+        with pytest.raises(TrimUnsafe):
+            trim(segments, floor, 20)

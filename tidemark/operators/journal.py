@@ -45,6 +45,17 @@ def bytes_trim(segments: DataFrame, max_bytes: int) -> DataFrame:
     return segments.withColumn("kept_bytes", F.sum("bytes").over(newer)).where(F.col("kept_bytes") > max_bytes).agg(F.max("end_seq").alias("trim_to"))
 
 
+class TrimUnsafe(Exception):
+    pass
+
+
+def trim(segments: DataFrame, floor: int | None, upto: int) -> DataFrame:
+    """Sealed segments that lie wholly at or before ``upto``; refused without a retention floor or past it."""
+    if floor is None or upto > floor:
+        raise TrimUnsafe(f"cannot trim to {upto}: the retention floor is {floor}")
+    return segments.where(F.col("end_seq") <= upto)
+
+
 def compaction_candidate(segments: DataFrame, min_segments: int, max_bytes: int) -> DataFrame:
     """The longest oldest-first run of sealed segments within ``max_bytes`` and of at least ``min_segments``, of the lowest partition that has one."""
     w = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)

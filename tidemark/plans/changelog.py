@@ -67,6 +67,25 @@ class ChangeLog:
         paths = [f"{self.root}/events/{table}/{c['folder']}" for c in self.commits() if table in c["tables"] and since < c["seq"] and (upto is None or c["seq"] <= upto)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def publish(self, table: str, columns: list[T.StructField]) -> int:
+        """Writes the table's state at the head; later reads replay only what came after it."""
+        at = self.head()
+        events = self._state(table, columns, at)
+        events.write.mode("overwrite").parquet(f"{self.root}/snapshots/{table}/{at:012d}")
+        return at
+
+    def _published(self, table: str, at: int | None) -> int | None:
+        p, fs = self._path("snapshots", table)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max([int(n) for n in names if (at is None or int(n) <= at) and fs.exists(self._path("snapshots", table, n, "_SUCCESS")[0])], default=None)
+
+    def _state(self, table: str, columns: list[T.StructField], at: int | None) -> DataFrame:
+        base = self._published(table, at)
+        log = self.events(table, columns, at, since=base or 0)
+        if base is not None:
+            log = log.unionByName(self.spark.read.schema(T.StructType(EVENT + columns)).parquet(f"{self.root}/snapshots/{table}/{base:012d}"))
+        return snapshot(log)
+
     def rows(self, table: str, columns: list[T.StructField], at: int | None = None) -> DataFrame:
         """Live rows (row_id, columns) as of a sequence."""
-        return snapshot(self.events(table, columns, at)).drop("seq", "op")
+        return self._state(table, columns, at).drop("seq", "op")
