@@ -192,9 +192,10 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
 
     kind = "mini long, seg long, d long, th long, first long, count long"
     places = scratch.save(keyed.select("d", "th", "text").where("text is not null").mapInArrow(cut, kind), "all")
-    shared = places.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini")
+    # Written, so that the join below reads two plain shuffles and a frequent minimiser can be split
+    shared = scratch.save(places.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini"), "shared")
     places = scratch.save(places.join(shared, "mini", "left_semi"), "places")
-    scratch.drop("all")
+    scratch.drop("all", "shared")
     segs = scratch.save(places.groupBy("mini", "seg").agg(F.min(F.struct("d", "th", "first", "count")).alias("r"), F.least(F.count(F.lit(1)), F.lit(2)).alias("copies")), "segs")
     hot = segs.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini", F.lit(True).alias("hot"))
     wanted = segs.join(hot, "mini", "left").select("r.d", "r.th", F.struct("mini", "seg", "r.first", "r.count", "copies", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s")).groupBy("d", "th").agg(F.collect_list("s").alias("segs"))
