@@ -22,6 +22,8 @@ from tidemark.llm.graph import components
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
 #: Further sketches by which a bucket of several classes is dealt again.
 FINER = 2
+#: A bucket with at most so many texts left after its first pivot is finished by comparing those of unlike classes.
+SMALL = 24
 
 
 def labelled(text: str) -> np.ndarray:
@@ -131,8 +133,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     Equal texts form one class, whose smallest doc_id stands for it.  In each bucket of equal sketches
     the smallest text, the pivot, is compared with the others, and classes are formed.  A bucket whose texts are then not all of
     one class is dealt again without its pivot, by that sketch and each of the next ``FINER``; of the pivot's own class only
-    those texts go on that can link with one outside by the triangle inequality of the alignment distance.  That ends when every
-    bucket is of one class or empty: no bucket's pairs are all written, and none is cut off.
+    those texts go on that can link with one outside by the triangle inequality of the alignment distance.  What is left of a bucket
+    is finished at once where it is at most ``SMALL`` texts.  That ends when every bucket is finished, of one class or empty: none is cut
+    off, and none has more pairs written than a fixed number or its size.
     Texts with fewer than five words have one shingle of all their words; null texts, texts without words and
     null doc_ids are their own class (equal non-null texts share one); order of rows and ties do not matter; repeated rows
     give repeated rows.  Other columns are ignored.
@@ -144,8 +147,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     reps = table.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = reps.where(F.size("keys") > 0)
     level = scratch.save(reps.select("doc_id", F.posexplode("keys").alias("at", "bucket")), "level0")
-    full = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").select("bucket", "pivot")
-    level = scratch.save(level.join(full, "bucket").select("doc_id", "at", "bucket", "pivot"), "level1")
+    full = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).where("n > 1")
+    level = scratch.save(level.join(full, "bucket").select("doc_id", "at", "bucket", "pivot", "n"), "level1")
     wanted = level.select("doc_id").distinct()
     keys = scratch.save(table.select("doc_id", "keys").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "keys")
     scratch.drop("level0", "sketches")
@@ -154,7 +157,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     done = found = None
     k = 1
     while True:
-        pairs = level.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+        pairs = level.where(F.lit(k == 1) | (F.col("n") > SMALL)).where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+        if k > 1:
+            few = level.where(F.col("n") <= SMALL).select("bucket", F.col("doc_id").alias("a"))
+            pairs = pairs.union(few.join(few.withColumnRenamed("a", "b"), "bucket").where("a < b").select("a", "b"))
+        pairs = pairs.distinct()
         if found is not None:
             cls = found.withColumnRenamed("component", "cls")
             pairs = pairs.join(cls.select(F.col("id").alias("a"), F.col("cls").alias("ca")), "a", "left").join(cls.select(F.col("id").alias("b"), F.col("cls").alias("cb")), "b", "left")
@@ -164,19 +171,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
         if found is None or new.where("ok").limit(1).count():
             found = components(done.where("ok"), scratch, f"cc{k}_")
         # What goes on to the next level: all outside the pivot's class, and of its class what may link with those
-        own = level.where("doc_id <> pivot").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
+        own = level.where(F.lit(k == 1) | (F.col("n") > SMALL)).where("doc_id <> pivot").drop("n").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
         own = own.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d", F.col("n_b").alias("n")), ["pivot", "doc_id"], "left")
         own = own.select("doc_id", "at", "bucket", F.coalesce("c", "doc_id").alias("cls"), (F.coalesce("c", "doc_id") != F.coalesce("pc", "pivot")).alias("outside"), "d", "n")
-        inner = own.where("outside").groupBy("bucket").agg(F.min(F.coalesce(F.col("d") - share * F.col("n"), F.lit(float("-inf")))).alias("edge"), F.count(F.lit(1)).alias("n_out"))
+        inner = own.where("outside").groupBy("bucket").agg(F.min(F.coalesce(F.col("d") - share * F.col("n"), F.lit(float("-inf")))).alias("edge"))
         rest = own.join(inner, "bucket").where(F.col("outside") | F.col("d").isNull() | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6))
+        rest = scratch.save(rest.select("doc_id", "at", "bucket", "cls"), f"rest{k}")
+        sizes = rest.groupBy("bucket").agg((F.count(F.lit(1)) > SMALL).alias("many"))
         steps = F.array(*(F.lit(i + 1) for i in range(FINER)))
-        finer = rest.join(keys, "doc_id").select("doc_id", "cls", "bucket", "keys", "at", F.explode(steps).alias("step"))
-        finer = finer.withColumn("at", (F.col("at") + F.col("step")) % F.size("keys"))
-        finer = scratch.save(finer.select("doc_id", "cls", "at", F.xxhash64("bucket", F.get("keys", F.col("at"))).alias("bucket")).distinct(), f"finer{k}")
-        full = finer.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("doc_id").alias("pivot")).where("lo <> hi").select("bucket", "pivot")
-        scratch.drop(f"level{k}")
+        many = rest.join(sizes.where("many"), "bucket").join(keys, "doc_id").select("doc_id", "cls", "bucket", "keys", "at", F.explode(steps).alias("step"))
+        many = many.withColumn("at", (F.col("at") + F.col("step")) % F.size("keys"))
+        finer = many.select("doc_id", "cls", "at", F.xxhash64("bucket", F.get("keys", F.col("at"))).alias("bucket")).unionByName(rest.join(sizes.where("not many"), "bucket").select("doc_id", "cls", "at", "bucket"))
+        finer = scratch.save(finer.distinct(), f"finer{k}")
+        full = finer.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("doc_id").alias("pivot"), F.countDistinct("doc_id").alias("n")).where("lo <> hi").select("bucket", "pivot", "n")
+        scratch.drop(f"level{k}", f"rest{k}")
         k += 1
-        level = scratch.save(finer.join(full, "bucket").select("doc_id", "at", "bucket", "pivot"), f"level{k}")
+        level = scratch.save(finer.join(full, "bucket").select("doc_id", "at", "bucket", "pivot", "n"), f"level{k}")
         scratch.drop(f"finer{k - 1}")
         if not level.limit(1).count():
             break
