@@ -20,7 +20,7 @@ from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
 from tidemark.llm.graph import components
 
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
-#: Further sketches by which a bucket of several classes is dealt again.
+#: Further sketches by which a bucket of several classes is dealt again the first time.
 FINER = 2
 #: A bucket with at most so many texts left after its first pivot is finished by comparing those of unlike classes.
 SMALL = 24
@@ -132,7 +132,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
 
     Equal texts form one class, whose smallest doc_id stands for it.  In each bucket of equal sketches
     the smallest text, the pivot, is compared with the others, and classes are formed.  A bucket whose texts are then not all of
-    one class is dealt again without its pivot, by that sketch and each of the next ``FINER``; of the pivot's own class only
+    one class is dealt again without its pivot, by that sketch and each of the next ``FINER``, then by one more a level; of the pivot's own class only
     those texts go on that can link with one outside by the triangle inequality of the alignment distance.  What is left of a bucket
     is finished at once where it is at most ``SMALL`` texts.  That ends when every bucket is finished, of one class or empty: none is cut
     off, and none has more pairs written than a fixed number or its size.
@@ -178,7 +178,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
         rest = own.join(inner, "bucket").where(F.col("outside") | F.col("d").isNull() | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6))
         rest = scratch.save(rest.select("doc_id", "at", "bucket", "cls"), f"rest{k}")
         sizes = rest.groupBy("bucket").agg((F.count(F.lit(1)) > SMALL).alias("many"))
-        steps = F.array(*(F.lit(i + 1) for i in range(FINER)))
+        steps = F.array(*(F.lit(i + 1) for i in range(FINER if k == 1 else 1)))
         many = rest.join(sizes.where("many"), "bucket").join(keys, "doc_id").select("doc_id", "cls", "bucket", "keys", "at", F.explode(steps).alias("step"))
         many = many.withColumn("at", (F.col("at") + F.col("step")) % F.size("keys"))
         finer = many.select("doc_id", "cls", "at", F.xxhash64("bucket", F.get("keys", F.col("at"))).alias("bucket")).unionByName(rest.join(sizes.where("not many"), "bucket").select("doc_id", "cls", "at", "bucket"))
