@@ -84,6 +84,30 @@ def test_order_minhash_finds_the_brute_force_classes(spark, docs, empty):
     assert omh.near_duplicates(spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("block", [512, 100])
+def test_order_minhash_links_every_pair_in_a_large_family(spark, block, monkeypatch):
+    """A template with 1,000 texts of about 0.7 to each other, 100 pairs of which reach 0.8."""
+    monkeypatch.setattr(omh, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(21)
+    own = lambda n: [f"w{int(x)}" for x in rng.integers(0, 1 << 40, n)]
+    template = prose(154, rng).split(" ")
+    texts = [" ".join(template + own(31)) for _ in range(900)]
+    texts += [" ".join(t.split(" ")[:-20] + own(20)) for t in texts[:100]]
+    sets = [set(omh.labelled(t).tolist()) for t in texts]
+    close = {(i, j) for i in range(1000) for j in range(i) if len(sets[i] & sets[j]) * 1.8 >= (len(sets[i]) + len(sets[j])) * 0.8 - 1e-6}
+    assert close == {(900 + i, i) for i in range(100)}
+    assert all(omh.similarity(omh.labelled(texts[i]), omh.labelled(texts[j])) >= 0.8 for i, j in close)
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - 900 if i >= 900 else i for i in range(1000)}
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(22)
+    hs = [np.unique(rng.integers(0, m, 60).astype(np.uint64)) for m in (80, 400, 3000) for _ in range(20)]
+    got = omh.overlaps(hs)
+    assert all(got[i, j] == len(np.intersect1d(hs[i], hs[j])) for j in range(60) for i in range(j))
+
+
 def test_alignment_is_sensitive_to_order():
     t = prose(200).split(" ")
     h = omh.labelled(" ".join(t))

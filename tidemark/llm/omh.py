@@ -20,10 +20,10 @@ from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
 from tidemark.llm.graph import components
 
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
-#: Further sketches by which a bucket of several classes is dealt again the first time.
-FINER = 2
-#: A bucket with at most so many texts left after its first pivot is finished by comparing those of unlike classes.
-SMALL = 24
+#: A bucket with several classes is compared in blocks of about so many texts, every block with every other.
+BLOCK = 512
+#: A shingle of at most so many texts of a block is counted pair by pair, one of more by a matrix product of so many columns.
+RARE, COLUMNS = 8, 2048
 
 
 def labelled(text: str) -> np.ndarray:
@@ -127,15 +127,88 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d long, n_a long, n_b long, ok boolean")
 
 
+def overlaps(hs: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each two of the texts share, exact above the diagonal."""
+    n = len(hs)
+    _, col, df = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(h) for h in hs])[np.argsort(col, kind="stable")]
+    start = np.cumsum(df) - df
+    out = np.zeros(n * n, np.float32)
+    for k in range(2, RARE + 1):
+        at = start[df == k]
+        if len(at):
+            who = owner[at[:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            out += np.bincount((who[:, i] * n + who[:, j]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    many = np.flatnonzero(df > RARE)
+    for c in range(0, len(many), COLUMNS):
+        own = many[c : c + COLUMNS]
+        dense = np.zeros((n, len(own)), np.float32)
+        for k, (a, m) in enumerate(zip(start[own].tolist(), df[own].tolist(), strict=True)):
+            dense[owner[a : a + m], k] = 1
+        out += dense @ dense.T
+    return out
+
+
+def links(hs: list[np.ndarray], cls: list[int], side: list[int], least: float) -> Iterator[tuple[int, int]]:
+    """Places of texts that link and join all texts which links of the block connect; where ``side`` has two values, only across them.
+
+    Only texts of unlike classes are tried, and only where so many shingles are shared that their alignment can reach ``least``.
+    """
+    root = {c: c for c in cls}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    sizes, kinds, sides = np.array([len(h) for h in hs]), np.array(cls), np.array(side)
+    total = sizes[:, None] + sizes[None, :]
+    good = total - 2 * overlaps(hs) <= np.floor(total * (1 - least) / (1 + least) + 1e-9)
+    good &= kinds[:, None] != kinds[None, :]
+    if len(set(side)) > 1:
+        good &= sides[:, None] != sides[None, :]
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(good, 1))), strict=True):
+        a, b = find(cls[i]), find(cls[j])
+        if a != b and distance(hs[i], hs[j], least)[1]:
+            root[max(a, b)] = min(a, b)
+            yield i, j
+
+
+def _finish(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between unlike classes within each (bucket, lo, hi) of ``dealt``, which holds one block of a bucket or two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part = None, []
+
+        def found() -> pa.RecordBatch:
+            ids, cls, side, hs = zip(*part, strict=True)
+            pairs = list(links(list(hs), list(cls), list(side), least))
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, lo, hi, *own, text in rows(batch, "bucket", "lo", "hi", "doc_id", "cls", "block", "text"):
+                if (bucket, lo, hi) != key:
+                    if part:
+                        yield found()
+                    key, part = (bucket, lo, hi), []
+                part.append((*own, labelled(text)))
+        if part:
+            yield found()
+
+    own = dealt.join(texts, "doc_id").select("bucket", "lo", "hi", "doc_id", "cls", "block", "text")
+    return own.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, class_id, kept) for each row of ``docs`` (doc_id, text); class_id is the smallest doc_id linked to it.
 
     Equal texts form one class, whose smallest doc_id stands for it.  In each bucket of equal sketches
-    the smallest text, the pivot, is compared with the others, and classes are formed.  A bucket whose texts are then not all of
-    one class is dealt again without its pivot, by that sketch and each of the next ``FINER``, then by one more a level; of the pivot's own class only
-    those texts go on that can link with one outside by the triangle inequality of the alignment distance.  What is left of a bucket
-    is finished at once where it is at most ``SMALL`` texts.  That ends when every bucket is finished, of one class or empty: none is cut
-    off, and none has more pairs written than a fixed number or its size.
+    the smallest text, the pivot, is compared with the others, and classes are formed.  Where a bucket's other texts are then not all of
+    one class, all of them that are of unlike classes are compared, in blocks of about ``BLOCK`` texts that are dealt over the tasks;
+    of the pivot's own class only those texts go on that can link with one outside by the triangle inequality of the alignment distance.
+    So all pairs that share a sketch are decided on: none is cut off.  Pairs are counted inside the tasks and are not written as rows.
     Texts with fewer than five words have one shingle of all their words; null texts, texts without words and
     null doc_ids are their own class (equal non-null texts share one); order of rows and ties do not matter; repeated rows
     give repeated rows.  Other columns are ignored.
@@ -154,42 +227,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     scratch.drop("level0", "sketches")
     texts = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(keys.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     share = (1 - least) / (1 + least)
-    done = found = None
-    k = 1
-    while True:
-        pairs = level.where(F.lit(k == 1) | (F.col("n") > SMALL)).where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        if k > 1:
-            few = level.where(F.col("n") <= SMALL).select("bucket", F.col("doc_id").alias("a"))
-            pairs = pairs.union(few.join(few.withColumnRenamed("a", "b"), "bucket").where("a < b").select("a", "b"))
-        pairs = pairs.distinct()
-        if found is not None:
-            cls = found.withColumnRenamed("component", "cls")
-            pairs = pairs.join(cls.select(F.col("id").alias("a"), F.col("cls").alias("ca")), "a", "left").join(cls.select(F.col("id").alias("b"), F.col("cls").alias("cb")), "b", "left")
-            pairs = pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
-        new = scratch.save(_verify(pairs, texts, least), f"pairs{k}")
-        done = new if done is None else done.unionByName(new)
-        if found is None or new.where("ok").limit(1).count():
-            found = components(done.where("ok"), scratch, f"cc{k}_")
-        # What goes on to the next level: all outside the pivot's class, and of its class what may link with those
-        own = level.where(F.lit(k == 1) | (F.col("n") > SMALL)).where("doc_id <> pivot").drop("n").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
-        own = own.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d", F.col("n_b").alias("n")), ["pivot", "doc_id"], "left")
-        own = own.select("doc_id", "at", "bucket", F.coalesce("c", "doc_id").alias("cls"), (F.coalesce("c", "doc_id") != F.coalesce("pc", "pivot")).alias("outside"), "d", "n")
-        inner = own.where("outside").groupBy("bucket").agg(F.min(F.coalesce(F.col("d") - share * F.col("n"), F.lit(float("-inf")))).alias("edge"))
-        rest = own.join(inner, "bucket").where(F.col("outside") | F.col("d").isNull() | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6))
-        rest = scratch.save(rest.select("doc_id", "at", "bucket", "cls"), f"rest{k}")
-        sizes = rest.groupBy("bucket").agg((F.count(F.lit(1)) > SMALL).alias("many"))
-        steps = F.array(*(F.lit(i + 1) for i in range(FINER if k == 1 else 1)))
-        many = rest.join(sizes.where("many"), "bucket").join(keys, "doc_id").select("doc_id", "cls", "bucket", "keys", "at", F.explode(steps).alias("step"))
-        many = many.withColumn("at", (F.col("at") + F.col("step")) % F.size("keys"))
-        finer = many.select("doc_id", "cls", "at", F.xxhash64("bucket", F.get("keys", F.col("at"))).alias("bucket")).unionByName(rest.join(sizes.where("not many"), "bucket").select("doc_id", "cls", "at", "bucket"))
-        finer = scratch.save(finer.distinct(), f"finer{k}")
-        full = finer.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("doc_id").alias("pivot"), F.countDistinct("doc_id").alias("n")).where("lo <> hi").select("bucket", "pivot", "n")
-        scratch.drop(f"level{k}", f"rest{k}")
-        k += 1
-        level = scratch.save(finer.join(full, "bucket").select("doc_id", "at", "bucket", "pivot", "n"), f"level{k}")
-        scratch.drop(f"finer{k - 1}")
-        if not level.limit(1).count():
-            break
+    pairs = level.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    done = scratch.save(_verify(pairs, texts, least), "pairs")
+    found = components(done.where("ok"), scratch, "cc1_")
+    # What goes on: all outside the pivot's class, and of its class what may link with those
+    own = level.where("doc_id <> pivot").drop("n").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
+    own = own.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d", F.col("n_b").alias("n"), "ok"), ["pivot", "doc_id"], "left")
+    own = own.select("doc_id", "bucket", F.coalesce("c", "doc_id").alias("cls"), (F.coalesce("c", "doc_id") != F.coalesce("pc", "pivot")).alias("outside"), "d", "n", "ok")
+    inner = own.where("outside").groupBy("bucket").agg(F.min(F.col("d") - share * F.col("n")).alias("edge"))
+    # d is exact where the pair links; elsewhere it is a lower bound, which rules out nothing inside the pivot's class
+    rest = own.join(inner, "bucket").where(F.expr("outside or not coalesce(ok, false)") | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6))
+    rest = scratch.save(rest.select("doc_id", "bucket", "cls"), "rest")
+    scratch.drop("level1")
+    mark = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    full = rest.groupBy("bucket").agg(F.min("cls").alias("l"), F.max("cls").alias("h"), F.count(F.lit(1)).alias("n"), *mark).where("l <> h")
+    full = full.groupBy("l", "h", "n", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))  # of buckets with the same texts, one
+    full = full.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "cls", "block")
+    more = scratch.save(_finish(dealt, texts, least), "more")
+    scratch.drop("rest")
+    if more.limit(1).count():
+        found = components(done.where("ok").select("a", "b").unionByName(more), scratch, "cc2_")
     classes = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).distinct()
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes, "doc_id", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
