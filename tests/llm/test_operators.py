@@ -216,6 +216,63 @@ def test_license_rules(spark, empty):
     assert licenses.recognise(empty).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License"); you may
+# not use this file except in compliance with the License. You may obtain
+# a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """/* This %s is free software%s you can redistribute it and/or modify
+ * it under the terms of the GNU %s Public License as published by
+ * the Free Software Foundation%s either version %s of the License, or
+ * (at your option) any later version.
+ *
+ * This %s is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details. */
+"""
+
+
+def test_true_licence_texts_are_found_when_wrapped(spark):
+    texts = {
+        "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + BSD_NAME % "copyright holder", "Apache-2.0": APACHE,
+        "GPL-2.0": GPL % ("program", ";", "General", ";", "2", "program"), "GPL-3.0": GPL % ("program", ":", "General", ",", "3", "program"),
+        "LGPL-2.1": GPL % ("library", ";", "Lesser General", ";", "2.1", "library"), "AGPL-3.0": GPL % ("program", ":", "Affero General", ",", "3", "program"),
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    rows = [*texts.items(), ("MIT", "Text.\nReleased under the\nMIT License.\nMore"), ("MIT", "no full stop\nReleased under the MIT License\nmore"), ("BSD-3-Clause", BSD + BSD_NAME % "University of X, Y"), ("", MIT.split("\n\n")[0]), ("BSD-2-Clause,BSD-3-Clause", BSD + BSD_NAME % "X" + "\n" + BSD)]
+    rows += [(want, text.replace("\n", "\r\n")) for want, text in texts.items()]
+    got = licenses.recognise(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: want for i, (want, _) in enumerate(rows)}
+
+
 def test_every_known_sentence_has_a_trigger_and_is_normal():
     for s in licenses.SENTENCES:
         assert re.sub("[^a-z0-9]+", " ", s).strip() == s
