@@ -273,6 +273,11 @@ def test_true_licence_texts_are_found_when_wrapped(spark):
     assert {r.doc_id: r.licenses for r in got} == {i: want for i, (want, _) in enumerate(rows)}
 
 
+@pytest.mark.parametrize("text", ["All rights  reserved.", "all rights\u00a0reserved", "ALL RIGHTS-RESERVED", "All\trights\treserved!"])
+def test_odd_spacing_keeps_a_licence(spark, text):
+    assert licenses.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == "Proprietary"
+
+
 def test_every_known_sentence_has_a_trigger_and_is_normal():
     for s in licenses.SENTENCES:
         assert re.sub("[^a-z0-9]+", " ", s).strip() == s

@@ -86,8 +86,8 @@ FULL_RULES = [
     ("LGPL-3.0", ["lgpl3-free"]),
     ("MPL-2.0", ["mpl2-ref"]),
 ]
-#: Each known sentence has one of these words, so a text without any has none of them.
-TRIGGERS = "licen|permission|copyright|software|rights reserved|warranty"
+#: Each known sentence has one of these words, so a text without any has none of them; single words stay as they are when a sentence is normalised.
+TRIGGERS = "licen|permission|copyright|software|reserved|warranty"
 
 
 def recognise(docs: DataFrame) -> DataFrame:
