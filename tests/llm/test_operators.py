@@ -352,6 +352,14 @@ def encoded(text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "one <|endoftext|><|endoftext|>", "half <|endoftext >"])
+def test_added_tokens_are_encoded_as_the_library_does(text):
+    from tidemark.llm.tokens import Coder, tokenizer_json
+
+    coder = Coder(tokenizer_json(VOCABULARY))
+    assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == encoded(text, 0)[:-1].tolist()
+
+
 def test_packing_covers_every_id_once(spark, docs, empty):
     got = pack.pack(spark, docs, VOCABULARY).collect()
     rows = awkward()

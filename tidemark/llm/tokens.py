@@ -53,7 +53,7 @@ class Coder:
     before it, so that words between single spaces and single line breaks can be
     encoded once and remembered: Latin words go straight to the library's BPE model, all else through its
     pre-tokeniser first.  A text with any run of two or more white-space
-    characters is encoded as a whole.  ``most`` bounds the remembered words.
+    characters, or with an added token of the vocabulary (``<|endoftext|>``), is encoded as a whole.  ``most`` bounds the remembered words.
     """
 
     most = 300_000
@@ -63,10 +63,11 @@ class Coder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # ids of machine order; the files say little-endian
@@ -95,7 +96,7 @@ class Coder:
         """The bytes of a text's ids; null is as empty."""
         if not text:
             return b""
-        if _RUN.search(text):
+        if _RUN.search(text) or self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         out: list[bytes] = []
         bare, spaced = self.bare, self.spaced.__getitem__
