@@ -136,6 +136,13 @@ def test_fm_removal_equals_window_counts(spark, docs, empty, hot, monkeypatch):
     assert fm.passages(spark, empty).collect() == []
 
 
+def test_fm_hot_windows_need_both_halves_of_their_key(spark, docs, monkeypatch):
+    want = Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in fm.passages(spark, docs).collect())
+    monkeypatch.setattr(fm, "HOT", 1)
+    monkeypatch.setattr(fm, "LOW_BITS", 3)
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in fm.passages(spark, docs).collect()) == want
+
+
 def test_fm_index_counts():
     pieces = [RNG.integers(0, 5, n) for n in (40, 1, 30, 25)]
     index = fm.FMIndex(pieces, 5)

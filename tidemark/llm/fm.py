@@ -24,6 +24,8 @@ from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
 WINDOW, GRAM = 35, 8
 #: A minimiser with more distinct segments than this is dealt window by window, by all of a window's words.
 HOT = 1000
+#: Bits in the first half of the key of a window of a frequent minimiser; the second half has 64 more.
+LOW_BITS = 64
 SHARD_WORDS = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -200,6 +202,8 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     hot = segs.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini", F.lit(True).alias("hot"))
     wanted = segs.join(hot, "mini", "left").select("r.d", "r.th", F.struct("mini", "seg", "r.first", "r.count", "copies", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s")).groupBy("d", "th").agg(F.collect_list("s").alias("segs"))
 
+    low = (1 << LOW_BITS) - 1
+
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -211,24 +215,24 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
                     for s in own:
                         a, n = s["first"], s["count"]
                         if not s["hot"]:
-                            out.append((s["mini"], s["seg"], -1, 0, s["copies"], b" ".join(w[a : a + n + window - 1])))
+                            out.append((s["mini"], s["seg"], -1, 0, 0, s["copies"], b" ".join(w[a : a + n + window - 1])))
                             continue
                         for j in range(n):
                             t = b" ".join(w[a + j : a + j + window])
                             h = xxhash.xxh3_128_intdigest(t)
-                            out.append((s["mini"], s["seg"], j, (h & (1 << 64) - 1) - (1 << 63), s["copies"], t))
-                cols = list(zip(*out, strict=True)) if out else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["mini", "seg", "j", "win", "copies", "text"])
+                            out.append((s["mini"], s["seg"], j, (h & low) - (1 << 63), (h >> 64) - (1 << 63), s["copies"], t))
+                cols = list(zip(*out, strict=True)) if out else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names=["mini", "seg", "j", "win", "win2", "copies", "text"])
 
     texts = keyed.select("d", "th", "text").join(wanted, ["d", "th"])
-    cutout = scratch.save(texts.mapInArrow(slices, "mini long, seg long, j long, win long, copies long, text binary"), "slices")
+    cutout = scratch.save(texts.mapInArrow(slices, "mini long, seg long, j long, win long, win2 long, copies long, text binary"), "slices")
     plain = cutout.where("j < 0").select("mini", "seg", "text", "copies", F.lit(0).cast("long").alias("alone"))
-    split = cutout.where("j >= 0").groupBy("win").agg(F.first("text").alias("text"), F.least(F.sum("copies"), F.lit(2)).alias("copies")).select(F.col("win").alias("mini"), F.lit(0).cast("long").alias("seg"), "text", "copies", F.lit(1).cast("long").alias("alone"))
+    split = cutout.where("j >= 0").groupBy("win", "win2").agg(F.first("text").alias("text"), F.least(F.sum("copies"), F.lit(2)).alias("copies")).select(F.col("win").alias("mini"), F.col("win2").alias("seg"), "text", "copies", F.lit(1).cast("long").alias("alone"))
     size = cutout.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_shards = int(size // (SHARD_WORDS * 7)) + 1
     dealt = plain.unionByName(split).withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(n_shards)))
     hits = scratch.save(dealt.groupBy("shard").applyInPandas(lambda key, pdf: _shard(key, pdf, window), "mini long, seg long, alone long, lo long, hi long"), "hits")
-    of_windows = hits.where("alone = 1").select(F.col("mini").alias("win")).distinct().join(cutout.where("j >= 0").select("win", "mini", "seg", "j"), "win").select("mini", "seg", F.col("j").alias("lo"), F.col("j").alias("hi"))
+    of_windows = hits.where("alone = 1").select(F.col("mini").alias("win"), F.col("seg").alias("win2")).distinct().join(cutout.where("j >= 0").select("win", "win2", "mini", "seg", "j"), ["win", "win2"]).select("mini", "seg", F.col("j").alias("lo"), F.col("j").alias("hi"))
     spans = hits.where("alone = 0").drop("alone").unionByName(of_windows).groupBy("mini", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     per = places.join(spans, ["mini", "seg"]).select("d", "th", F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("a"), (F.col("first") + r["hi"] + window).alias("b"))).alias("runs"))
     per = per.groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
