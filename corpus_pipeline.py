@@ -30,9 +30,12 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the smallest doc_id; null texts and ids stay."""
+    """One document of each near-duplicate class stays, that of the smallest doc_id, and of its rows one for each text; null texts and ids stay."""
     classes = omh.near_duplicates(spark, docs, scratch=_scratch(spark, "omh"))
-    return docs.join(classes.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    loose = F.col("doc_id").isNull() | F.col("text").isNull()
+    once = docs.where(~loose).withColumn("__digest", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "__digest"])
+    rows = docs.where(loose).unionByName(once.select(docs.columns))
+    return rows.join(classes.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

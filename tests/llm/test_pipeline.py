@@ -39,5 +39,16 @@ def test_each_stage_decides(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_a_repeated_row_stays_once(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text), (1, text), (1, text), (2, None), (2, None), (None, "some text"), (None, "some text"), (3, "another short text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    corpus_pipeline.drop_near_duplicates(spark, docs, SF).write.parquet(f"{tmp_path}/near")
+    got = spark.read.parquet(f"{tmp_path}/near")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[2:]))
+    cut = corpus_pipeline.cut_repeated_passages(spark, got, SF)
+    assert [r.text for r in cut.where("doc_id = 1").collect()] == [text]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
