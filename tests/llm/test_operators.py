@@ -146,14 +146,13 @@ def test_fm_hot_windows_need_both_halves_of_their_key(spark, docs, monkeypatch):
 def test_fm_index_counts():
     pieces = [RNG.integers(0, 5, n) for n in (40, 1, 30, 25)]
     index = fm.FMIndex(pieces, 5)
-    text = index.text.tolist()
     for _ in range(200):
         n = int(RNG.integers(1, 6))
-        p = RNG.integers(1, 6, n)
-        lo, hi = np.array([0]), np.array([index.n])
+        p = RNG.integers(0, 5, n)
+        lo, hi = np.array([0]), np.array([sum(map(len, pieces)) + len(pieces)])
         for s in p[::-1]:
             lo, hi = index.step(np.array([s]), lo, hi)
-        assert hi[0] - lo[0] == sum(text[i : i + n] == p.tolist() for i in range(len(text)))
+        assert hi[0] - lo[0] == sum(q[i : i + n].tolist() == p.tolist() for q in pieces for i in range(len(q) - n + 1))
 
 
 def test_language_mixture(spark):
@@ -419,3 +418,23 @@ def test_dac_reads_any_place(top):
     assert (f.at(np.arange(5000)) == ids).all()
     some = RNG.integers(0, 5000, 7)
     assert (f.at(some) == ids[some]).all() and (f.document(0) == ids).all()
+
+
+def test_wavelet_tree_ranks_are_exact():
+    rng = np.random.default_rng(31)
+    for sigma, n in ((1, 20), (2, 300), (300, 70_000)):
+        _, sequence, counts = np.unique(rng.zipf(1.2, n) % sigma, return_inverse=True, return_counts=True)
+        tree = fm.WaveletTree(sequence, counts)
+        symbol, place = rng.integers(0, len(counts), 200), rng.integers(0, n + 1, 200)
+        assert tree.rank(symbol, place).tolist() == [int((sequence[:p] == s).sum()) for s, p in zip(symbol, place, strict=True)]
+        if len(counts) > 2:  # no code is shorter on the whole than the entropy, nor a bit longer
+            share, mean = counts / n, (tree.length * counts).sum() / n
+            assert -(share * np.log2(share)).sum() <= mean < -(share * np.log2(share)).sum() + 1
+
+
+def test_fm_with_many_equal_rows(spark):
+    """Equal rows are places of their own, at a cost in proportion to their number."""
+    text, other = prose(200), prose(100)
+    rows = [(7, text)] * 3000 + [(8, other), (None, None)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in fm.passages(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == {(7, 200, 200): 3000, (8, 100, 0): 1, (None, 0, 0): 1}

@@ -3,9 +3,9 @@
 Windows of ``window`` words that are equal have equal minimisers (the least hash of their
 ``GRAM``-word grams), so documents are cut into segments of consecutive windows with one
 minimiser, and a segment is dealt to the shard of its minimiser: all places of a window's words are in one shard, and each
-window is in one segment.  A shard builds an FM-index of its segments, a wavelet matrix over the
-Burrows-Wheeler transform with packed bits and rank directories, and streams the segments through it: backward search finds how far
-to the left a match with a second place reaches.  Work grows in proportion to the text.
+window is in one segment.  A shard builds a compressed FM-index of its segments, a Huffman-shaped wavelet tree over the
+Burrows-Wheeler transform with rank directories and without the text, and streams the distinct segments of the documents dealt to it
+through it: backward search finds how far to the left a match with a second place reaches.  Work grows in proportion to the text.
 """
 
 from __future__ import annotations
@@ -54,15 +54,93 @@ def segments(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     return g[at[first]], mix64(own), first, count
 
 
+class RankBits:
+    """A bit vector with ranks: packed words, a 16-bit count for each word and a 64-bit one for each 1,024 words."""
+
+    WORDS = 1024
+
+    def __init__(self, on: np.ndarray):
+        self.packed = np.packbits(np.concatenate([on, np.zeros(-len(on) % 64 + 64, bool)]), bitorder="little").view("<u8")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed), dtype=np.int64)[:-1]])
+        self.far = ones[:: self.WORDS].copy()
+        self.near = (ones - self.far[np.arange(len(ones)) // self.WORDS]).astype(np.uint16)
+
+    def ones(self, place: np.ndarray) -> np.ndarray:
+        """Set bits before each place."""
+        w = place >> 6
+        mask = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.far[w >> 10] + self.near[w] + np.bitwise_count(self.packed[w] & mask)
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a Huffman code of the symbols with these counts; one symbol alone has one bit."""
+    if len(counts) < 2:
+        return np.ones(len(counts), np.int64)
+    n = len(counts)
+    leaves = np.argsort(counts, kind="stable").tolist()
+    weight = counts.tolist() + [0] * (n - 1)
+    parent = np.zeros(2 * n - 1, np.int64)
+    i = j = 0  # the two queues: leaves by count, and inner nodes, which come in order of their counts
+    for new in range(n, 2 * n - 1):
+        for _ in range(2):
+            if j == new - n or i < n and weight[leaves[i]] <= weight[n + j]:
+                least, i = leaves[i], i + 1
+            else:
+                least, j = n + j, j + 1
+            weight[new] += weight[least]
+            parent[least] = new
+    depth = np.zeros(2 * n - 1, np.int64)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    return depth[:n]
+
+
+class WaveletTree:
+    """A Huffman-shaped wavelet tree, which takes about the zero-order entropy of its sequence: one bit vector for each level."""
+
+    def __init__(self, sequence: np.ndarray, counts: np.ndarray):
+        self.length = code_lengths(counts)
+        order = np.lexsort((np.arange(len(counts)), self.length))  # canonical: shorter codes first, and so the smaller prefixes
+        self.code = np.zeros(len(counts), np.int64)
+        code, last = -1, int(self.length[order[0]])
+        for s, n in zip(order.tolist(), self.length[order].tolist(), strict=True):
+            code, last = (code + 1) << (n - last), n
+            self.code[s] = code
+        self.levels: list[tuple[RankBits, int, np.ndarray, np.ndarray]] = []
+        code, length = self.code[sequence], self.length[sequence]
+        for level in range(int(self.length.max())):
+            on = length > level
+            code, length = code[on], length[on]
+            prefix = code >> (length - level)
+            by = np.argsort(prefix, kind="stable")  # nodes side by side, each in the order of the sequence
+            code, length, prefix = code[by], length[by], prefix[by]
+            bits = RankBits((code >> (length - level - 1)) & 1 == 1)
+            least = int(prefix[0])
+            start = np.searchsorted(prefix, np.arange(least, int(prefix[-1]) + 1)).astype(np.int64)
+            self.levels.append((bits, least, start, bits.ones(start)))
+
+    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before each place."""
+        place, code, length = place.astype(np.int64), self.code[symbol], self.length[symbol]
+        on = np.arange(len(symbol))
+        for level, (bits, least, start, before) in enumerate(self.levels):
+            if level:
+                on = on[length[on] > level]
+            c, n, p = code[on], length[on], place[on]
+            node = (c >> (n - level)) - least
+            ones = bits.ones(start[node] + p) - before[node]
+            place[on] = np.where((c >> (n - level - 1)) & 1 == 1, ones, p - ones)
+        return place
+
+
 class FMIndex:
-    """Counts and backward search over sequences of word numbers 0..sigma-1."""
+    """Backward search over sequences of word numbers 0..sigma-1; holds no text, only its wavelet tree and counts."""
 
     def __init__(self, pieces: list[np.ndarray], sigma: int):
         lengths = np.array([len(p) for p in pieces], np.int64)
-        self.starts = np.cumsum(lengths + 1) - (lengths + 1)
         n = int((lengths + 1).sum())
         text = np.empty(n, np.int64)
-        ends = self.starts + lengths
+        ends = np.cumsum(lengths + 1) - 1
         body = np.ones(n, bool)
         body[ends] = False
         text[body] = np.concatenate(pieces) + len(pieces) if pieces else []
@@ -79,39 +157,23 @@ class FMIndex:
             rank, k = new, 2 * k
             if int(rank.max()) == n - 1 or k >= n:
                 break
-        self.text = np.where(body, text - len(pieces) + 1, 0)  # 0: separator
-        self.n, sigma = n, sigma + 1
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=sigma))])
-        symbols = self.text[order - 1]
-        self.levels: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-        for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
-            on = (symbols >> bit) & 1 == 1
-            packed = np.packbits(np.concatenate([on, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view("<u8")
-            ones = np.cumsum(np.bitwise_count(packed), dtype=np.int64)
-            self.levels.append((packed, np.concatenate([[0], ones[:-1]]), int(n - on.sum()), bit))
-            symbols = np.concatenate([symbols[~on], symbols[on]])
-        self.base = self._walk(np.arange(sigma), np.zeros(sigma, np.int64))
-
-    def _walk(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        for packed, before, zeros, bit in self.levels:
-            w = place >> 6
-            mask = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[w] + np.bitwise_count(packed[w] & mask)
-            place = np.where((symbol >> bit) & 1 == 1, zeros + ones, place - ones)
-        return place
-
-    def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix ranges with one more symbol to the left."""
-        both = self._walk(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) - np.tile(self.base[symbol], 2) + np.tile(self.first[symbol], 2)
-        return both[: len(symbol)], both[len(symbol) :]
-
-    def reach(self, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """The least start, not under ``limit``, of a run of words up to ``end`` (places in the text) that has a second place; end + 1 for none."""
+        symbols = np.where(body, text - len(pieces) + 1, 0)  # 0: separator
+        counts = np.bincount(symbols, minlength=sigma + 1)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.tree = WaveletTree(symbols[order - 1], np.maximum(counts, 1))
+
+    def step(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix ranges with one more word to the left."""
+        both = self.tree.rank(np.concatenate([word, word]) + 1, np.concatenate([lo, hi])) + np.tile(self.first[word + 1], 2)
+        return both[: len(word)], both[len(word) :]
+
+    def reach(self, stream: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """The least start, not under ``limit``, of a run of the stream's words up to ``end`` that occurs twice or more; end + 1 for none."""
         out = end + 1
         on = np.arange(len(end))
         at = end.copy()
-        symbol = self.text[at]
-        lo, hi = self.first[symbol], self.first[symbol + 1]
+        word = stream[at]
+        lo, hi = self.first[word + 1], self.first[word + 2]
         while len(on):
             ok = hi - lo >= 2
             on, at, lo, hi = on[ok], at[ok], lo[ok], hi[ok]
@@ -119,23 +181,24 @@ class FMIndex:
             ok = at > limit[on]
             on, at, lo, hi = on[ok], at[ok] - 1, lo[ok], hi[ok]
             if len(on):
-                lo, hi = self.step(self.text[at], lo, hi)
+                lo, hi = self.step(stream[at], lo, hi)
         return out
 
 
-def repeated(index: FMIndex, piece: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first, last) intervals of windows of the pieces that have a second place.
+def repeated(index: FMIndex, pieces: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, last) intervals of windows of the streamed pieces that occur twice or more in the index.
 
     Searches all pieces side by side.  From the right end of a range of windows a match marks what it reaches; where there is none, the
     window at the left end is tried, and a miss rules out all windows that hold the unmatched run.
     """
     found: list[np.ndarray] = []
-    base = index.starts[piece]
-    todo = np.stack([np.arange(len(piece)), np.zeros(len(piece), np.int64), count - 1, np.ones(len(piece), np.int64)])
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    base, stream, count = np.cumsum(sizes) - sizes, np.concatenate(pieces), sizes - window + 1
+    todo = np.stack([np.arange(len(pieces)), np.zeros(len(pieces), np.int64), count - 1, np.ones(len(pieces), np.int64)])
     while todo.shape[1]:
         who, lo, hi, right = todo
         b = base[who]
-        got = index.reach(b + np.where(right == 1, hi, lo) + window - 1, b + lo) - b
+        got = index.reach(stream, b + np.where(right == 1, hi, lo) + window - 1, b + lo) - b
         r = right == 1
         whole, part = r & (got <= hi), r & (got > hi) & (hi > lo)
         found.append(np.stack([who[whole], np.maximum(got, lo)[whole], hi[whole]]))
@@ -148,22 +211,20 @@ def repeated(index: FMIndex, piece: np.ndarray, count: np.ndarray, window: int)
         nxt.append(np.stack([who, mid + 1, hi, np.ones_like(lo)])[:, hit & (mid < hi)])
         todo = np.concatenate(nxt, axis=1)
     a = np.concatenate(found, axis=1)
-    return piece[a[0]], a[1], a[2]
+    return a[0], a[1], a[2]
 
 
 def _shard(key: tuple, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Intervals of repeated windows in the distinct segments of a shard; one that occurs more often stands in the index twice."""
+    pdf = pdf.drop_duplicates(["mini", "seg", "alone"])  # repeated rows may have sent one more than once
     numbers: dict[bytes, int] = {}
-    pieces, own = [], []
-    for text, copies in zip(pdf["text"], pdf["copies"], strict=True):
-        own.append(len(pieces))
+    streamed = []
+    for text in pdf["text"]:
         w = bytes(text).split(b" ")
-        p = np.fromiter((numbers.setdefault(x, len(numbers)) for x in w), np.int64, len(w))
-        pieces.extend([p] * int(copies))
-    index = FMIndex(pieces, len(numbers))
-    own = np.array(own)
-    piece, lo, hi = repeated(index, own, np.array([len(pieces[i]) - window + 1 for i in own]), window)
-    at = np.searchsorted(own, piece)
-    return pd.DataFrame({"mini": pdf["mini"].to_numpy()[at], "seg": pdf["seg"].to_numpy()[at], "alone": pdf["alone"].to_numpy()[at], "lo": lo, "hi": hi})
+        streamed.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in w), np.int64, len(w)))
+    again = [p for p, n in zip(streamed, pdf["copies"], strict=True) if n > 1]
+    piece, lo, hi = repeated(FMIndex(streamed + again, len(numbers)), streamed, window)
+    return pd.DataFrame({"mini": pdf["mini"].to_numpy()[piece], "seg": pdf["seg"].to_numpy()[piece], "alone": pdf["alone"].to_numpy()[piece], "lo": lo, "hi": hi})
 
 
 def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
@@ -175,7 +236,7 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     count as kept; repeated rows are places of their own, so all their windows repeat; no rows give none.
     Other columns pass unchanged, but for those named here.
 
-    Equal segments are collapsed to two copies before the shuffle to the shards.  A minimiser with over HOT distinct segments is
+    Equal segments are collapsed to one with a mark of its copies before the shuffle to the shards; rows equal in id and text add work in proportion to their number.  A minimiser with over HOT distinct segments is
     dealt by whole windows, equal ones collapsed as well, so that no shard grows with one frequent passage.
     """
     scratch = scratch or Scratch(spark, "fm")
@@ -233,11 +294,14 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     dealt = plain.unionByName(split).withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(n_shards)))
     hits = scratch.save(dealt.groupBy("shard").applyInPandas(lambda key, pdf: _shard(key, pdf, window), "mini long, seg long, alone long, lo long, hi long"), "hits")
     of_windows = hits.where("alone = 1").select(F.col("mini").alias("win"), F.col("seg").alias("win2")).distinct().join(cutout.where("j >= 0").select("win", "win2", "mini", "seg", "j"), ["win", "win2"]).select("mini", "seg", F.col("j").alias("lo"), F.col("j").alias("hi"))
-    spans = hits.where("alone = 0").drop("alone").unionByName(of_windows).groupBy("mini", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    per = places.join(spans, ["mini", "seg"]).select("d", "th", F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("a"), (F.col("first") + r["hi"] + window).alias("b"))).alias("runs"))
+    runs_of = hits.where("alone = 0").drop("alone").unionByName(of_windows).groupBy("mini", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    spans = scratch.save(runs_of, "spans")  # written, so that a frequent segment can be split at the join
+    moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("a"), (F.col("first") + r["hi"] + window).alias("b")))
+    per = places.join(spans, ["mini", "seg"]).select("d", "th", "first", moved.alias("runs"))
+    per = per.groupBy("d", "th", "first").agg(F.first("runs").alias("runs"))  # equal rows have equal runs
     per = per.groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     per = scratch.save(per, "runs")
-    scratch.drop("slices", "segs", "places", "hits")
+    scratch.drop("slices", "segs", "places", "hits", "spans")
     added = ["n_words", "n_removed", "kept_sha256", "spans", "kept"]
     left = [c for c in docs.columns if c.lower() not in added]
     ticked = [f"`{c}`" for c in left]
