@@ -298,9 +298,11 @@ def test_epsilon_grid_equals_all_pairs(spark, block, monkeypatch):
     base = rng.normal(size=(25, 16))
     rows = [(i, (base[i % 25] + rng.normal(size=16) * (0.02 + 0.01 * (i % 20))).tolist(), i % 3) for i in range(240)]
     rows += [(300 + i, rows[0][1], 0) for i in range(9)] + [(310, rows[0][1], None), (311, None, 0), (312, [0.0] * 16, 0), (313, [float("nan")] * 16, 0), (314, [1.0] * 4, 0), (315, [1.0] * 4, 0), (316, [None] * 16, 0), (317, [], 0), (318, [float("inf")] + [0.0] * 15, 0)]
+    rows += [(319, [1e300 * x for x in rows[0][1]], 0), (320, [1e-300 * x for x in rows[0][1]], 0), (None, rows[0][1], 0), (None, None, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("mult", F.lit(1)).repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego.near_vectors(spark, df).collect()}
-    ok = {i: np.array(v) / np.linalg.norm(v) for i, v, label in rows if label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    ok = {i: np.array(v) / max(map(abs, v)) for i, v, label in rows if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    ok = {i: v / np.linalg.norm(v) for i, v in ok.items()}
     label = {i: x for i, _, x in rows}
     links = {i: {j for j in ok if j != i and i in ok and label[i] == label[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.98} for i in label}
     for i in label:
@@ -309,11 +311,20 @@ def test_epsilon_grid_equals_all_pairs(spark, block, monkeypatch):
             new = links[todo.pop()] - seen
             seen |= new
             todo += new
-        assert got[i] == (len(links[i]), min(seen), i == min(seen))
+        assert got[i] == (len(links[i]), min(seen) if i is not None else None, i is None or i == min(seen))
     assert sum(map(len, links.values())) > 400
     assert ego.near_vectors(spark, df.limit(0)).collect() == []
 
 
+def test_epsilon_grid_skips_distant_blocks(spark):
+    """Interval pairs are those whose boxes come near, found without comparing all blocks."""
+    box = lambda x: [float(x)] + [0.0] * (ego.DIMS - 1)
+    rows = [(i, "x" if i < 600 else "y", 3, box(i), box(i + 0.5)) for i in range(1000)]
+    meta = spark.createDataFrame(rows, "id long, label string, n int, lo array<double>, hi array<double>")
+    got = {tuple(r) for r in ego.near_blocks(meta, 0.6, Scratch(spark, "t")).collect()}
+    assert got == {(i, i + 1) for i in range(999) if i != 599}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (50, 45), (60, 60), (45, 50)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
