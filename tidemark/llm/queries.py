@@ -50,7 +50,8 @@ def op7_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_prefixes": oracles.OP4_CHAT, "op6_license_rules": oracles.OP6_LICENSES}
+    return {
+        "op2_fm_substrings": oracles.OP2_SUBSTRINGS,
+        "op4_chat_prefixes": oracles.OP4_CHAT,
+        "op6_license_rules": oracles.OP6_LICENSES,
+        "op7_epsilon_grid": oracles.OP7_VECTORS,
+        "op8_decontamination": oracles.OP8_CONTAMINATION,
+    }
