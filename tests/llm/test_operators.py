@@ -390,18 +390,28 @@ def test_packing_covers_every_id_once(spark, docs, empty):
         for off, n in sorted(p):
             assert off == at
             at += n
-    want = Counter((d, encoded(t, 0).tobytes()) for d, t in rows)
-    by = {}
-    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
-        assert zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) == r.ids_crc32
-        by.setdefault(r.doc_id, []).append(r)
-    for d, pieces in by.items():
-        stream = b"".join(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes() for r in pieces)
-        options = [x for (k, x), n in want.items() if k == d for _ in range(n)]
-        assert len(stream) == sum(map(len, options)) and all(x in stream for x in options)
+    stream, whole = sorted(got, key=lambda r: (r.sequence_id, r.offset)), []
+    for r in stream:
+        ids = np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()
+        assert zlib.crc32(ids) == r.ids_crc32 and len(ids) == 4 * r.length
+        if r.start == 0:
+            whole.append([r.doc_id, b"", r.doc_tokens])
+        assert whole[-1][0] == r.doc_id and whole[-1][2] == r.doc_tokens and len(whole[-1][1]) == 4 * r.start
+        whole[-1][1] += ids
+    assert Counter((d, ids) for d, ids, _ in whole) == Counter((d, encoded(t, 0).tobytes()) for d, t in rows)
+    assert all(len(ids) == 4 * n for _, ids, n in whole)
     assert pack.pack(spark, empty, VOCABULARY).collect() == []
 
 
+def test_neighbours_on_the_curve_are_packed_together(spark):
+    rng = np.random.default_rng(41)
+    topics = [[WORDS[i] for i in rng.choice(len(WORDS), 12, replace=False)] for _ in range(8)]
+    docs = [(i, " ".join(rng.choice(topics[i % 8], 150))) for i in range(320)]
+    got = pack.pack(spark, spark.createDataFrame(docs, "doc_id long, text string"), VOCABULARY).collect()
+    order = [r.doc_id % 8 for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert sum(a == b for a, b in zip(order, order[1:], strict=False)) > 160  # 40 in any order without regard to content
+
+
 def test_hilbert_is_a_continuous_bijection():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = pack.hilbert(grid, bits=3)
@@ -418,7 +428,7 @@ def test_token_files_round_trip(spark, docs, empty):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in got] == sorted((d for d, _ in awkward()), key=lambda d: -1 if d is None else d)
-    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((d, zlib.crc32(encoded(t, 2).tobytes())) for d, t in awkward())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(encoded(t, 2)), zlib.crc32(encoded(t, 2).tobytes())) for d, t in awkward())
     assert dac.read_documents(spark, *dac.tokenize_to_files(spark, empty, VOCABULARY)).collect() == []
 
 

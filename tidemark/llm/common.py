@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import sys
 import types
 import uuid
@@ -13,15 +14,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK_DIR = "file:///tmp/checkpoints/tidemark"
+LOCAL_DIR = "file:///tmp/checkpoints/tidemark"
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that all nodes share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one process (as in tests) gets a local folder; on a cluster, whose nodes would not see it, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = FALLBACK_DIR
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {master} share")
+        base = LOCAL_DIR
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

@@ -46,10 +46,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            own: dict[str, list[np.ndarray]] = {}
             for text, lang in rows(batch, "text", "lang"):
-                if lang not in sums:
-                    sums[lang] = np.zeros(BUCKETS, np.int64)
-                sums[lang] += np.bincount(grams(text), minlength=BUCKETS)
+                own.setdefault(lang, []).append(grams(text))
+            for lang, bags in own.items():
+                n = np.bincount(np.concatenate(bags), minlength=BUCKETS)
+                sums[lang] = sums[lang] + n if lang in sums else n
         for lang, v in sums.items():
             at = np.nonzero(v)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at])], names=["lang", "bucket", "n"])

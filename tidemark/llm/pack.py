@@ -20,6 +20,8 @@ from tidemark.llm.common import Scratch, mix64, rows
 from tidemark.llm.tokens import coder, tokenizer_json
 
 DIMS, BITS = 4, 12
+#: Bytes of ids that one task of the range sort takes.
+SORT_BYTES = 64 << 20
 
 
 def directions(vocabulary: int, dims: int = DIMS) -> np.ndarray:
@@ -57,7 +59,7 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def cells(means: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
+def cells(means: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Squashes mean vectors to the integer grid; the scale is fixed, so keys never depend on other rows."""
     squashed = 1 / (1 + np.exp(-np.clip(means * 12, -30, 30)))
     return np.minimum((squashed * (1 << bits)).astype(np.int64), (1 << bits) - 1)
@@ -67,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0,
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) for each piece of ``docs`` (doc_id, text).
 
     Each text is encoded once and written with its key; the written ids are
-    range-sorted by (key, doc_id); the stream's offsets come from the sums of
+    range-sorted by (key, doc_id) in as many tasks as their size asks for; the stream's offsets come from the sums of
     the sorted partitions, of which there are as many rows as partitions.
     Null text is as empty: such a document is its end id alone.  Ties on the
     curve go by doc_id; repeated rows are documents of their own; no rows give no
@@ -89,7 +91,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0,
                     doc_ids.append(doc_id)
                     blobs.append(blob)
                     means.append(r[ids].mean(axis=0, dtype=np.float64))
-                keys = hilbert(cells(np.array(means), np.array([len(b) for b in blobs])))
+                keys = hilbert(cells(np.array(means)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(keys), pa.array([len(b) // enc.dtype.itemsize for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "key", "doc_tokens", "ids"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,9 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     coded = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, key long, doc_tokens long, ids binary"), "coded")
-    ordered = coded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn("part", F.spark_partition_id())
+    size = coded.agg(F.sum("doc_tokens")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, 4 * size // SORT_BYTES + 1)
+    ordered = coded.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn("part", F.spark_partition_id())
     placed = scratch.save(ordered.mapInArrow(place, "doc_id long, doc_tokens long, ids binary, part int, local long"), "placed")
     scratch.drop("coded")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
