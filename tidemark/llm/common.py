@@ -84,11 +84,13 @@ def _clear_all() -> None:
 
 
 def worker_cache(name: str, make):
-    """One object for each name and Python worker, kept between tasks of a reused worker."""
+    """An object of a Python worker, kept between its tasks until one of another name is asked for; a worker runs one task at a time."""
     home = sys.modules.setdefault("_tidemark_worker_cache", types.ModuleType("_tidemark_worker_cache"))
-    if name not in home.__dict__:
-        home.__dict__[name] = make()
-    return home.__dict__[name]
+    held = home.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

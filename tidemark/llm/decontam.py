@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, rows
@@ -27,7 +27,7 @@ _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 _DOCS = b""  # the term of a shard's row that lists its documents
 
 INDEX = "shard long, term binary, n long, positions binary"
-FOUND = "shard long, ordinal long, doc_id long, n_words long, spans binary, items array<string>, near array<string>"
+FOUND = "shard long, ordinal long, doc_id long, digest binary, n_words long, spans binary, items array<string>, near array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -35,6 +35,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD).split() if text else []
 
 
+def digest_of(text: str) -> Column:
+    """The 128 bits by which a document's text is known, null as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFrame:
     """Posting lists of ``docs`` (doc_id, text); with a vocabulary, of its terms alone.
 
@@ -47,13 +52,14 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
         wanted = {t: i for i, t in enumerate(sorted(shared.value))} if shared else None
         part, k = TaskContext.get().partitionId(), 0
         doc_ids: list = []
+        digests: list[bytes] = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
         n = 0
         local: dict[bytes, int] = dict(wanted) if wanted is not None else {}
 
         def close() -> pa.RecordBatch:
-            nonlocal doc_ids, lengths, held, n, k, local
+            nonlocal doc_ids, digests, lengths, held, n, k, local
             ids = np.concatenate(held)
             places = np.nonzero(ids >= 0)[0]
             order = places[np.argsort(ids[places], kind="stable")]
@@ -61,17 +67,18 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
             names = list(local)
             heads = [_DOCS] + [names[t] for t in terms]
             ends = np.append(first[1:], len(order))[: len(first)]
-            listing = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
+            own = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.array(lengths, "<u4")]
+            listing = b"".join([*(x.tobytes() for x in own), *digests])
             lists = [listing] + [np.diff(order[a:b], prepend=0).astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)]
             counts = [len(doc_ids)] + [int(b - a) for a, b in zip(first, ends, strict=True)]
             out = pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), part * 1_000_000 + k)), pa.array(heads, pa.binary()), pa.array(counts, pa.int64()), pa.array(lists, pa.binary())], names=["shard", "term", "n", "positions"])
-            doc_ids, lengths, held, n, k = [], [], [], 0, k + 1
+            doc_ids, digests, lengths, held, n, k = [], [], [], [], 0, k + 1
             if wanted is None:
                 local = {}
             return out
 
         for batch in batches:
-            for doc_id, text in rows(batch, "doc_id", "text"):
+            for doc_id, text, digest in rows(batch, "doc_id", "text", "digest"):
                 w = words(text)
                 if wanted is None:
                     for x in w:
@@ -79,6 +86,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
                 ids = np.full(len(w) + 1, -1, np.int64)
                 ids[:-1] = np.fromiter((local.get(x, -1) for x in w), np.int64, len(w))
                 doc_ids.append(doc_id)
+                digests.append(digest)
                 lengths.append(len(w))
                 held.append(ids)
                 n += len(w) + 1
@@ -87,7 +95,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
         if doc_ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest_of("text").alias("digest")).mapInArrow(build, INDEX)
 
 
 def windows(items: list[tuple[str, list[bytes]]], size: int) -> dict[tuple[bytes, ...], list[str]]:
@@ -106,9 +114,10 @@ class Postings:
         self.at: dict[int, np.ndarray] = {}
         for name, blob in zip(names, lists, strict=True):
             if name == _DOCS:
-                n = len(blob) // 13
+                n = len(blob) // 29
                 self.doc_ids, self.nulls = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "u1", n, 8 * n)
                 self.lengths = np.frombuffer(blob, "<u4", n, 9 * n).astype(np.int64)
+                self.digests = [blob[13 * n + 16 * i : 13 * n + 16 * i + 16] for i in range(n)]
             elif name in numbers:
                 self.at[numbers[name]] = np.cumsum(np.frombuffer(blob, "<u4"), dtype=np.int64)
         self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
@@ -201,7 +210,11 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
             by_item[d].update(x for w in np.unique(which[a:b]) for x in items[w])
         for d, w in {*zip(near_doc.tolist(), near_w.tolist())}:
             near[d].update(near_items[w])
-        return pd.DataFrame({"shard": key[0], "ordinal": np.arange(n), "doc_id": pd.array(np.where(p.nulls == 1, 0, p.doc_ids), dtype="Int64").copy() if not p.nulls.any() else pd.array([None if z else int(x) for x, z in zip(p.doc_ids, p.nulls)], dtype="Int64"), "n_words": p.lengths, "spans": spans, "items": [sorted(x) for x in by_item], "near": [sorted(x) for x in near]})
+        doc_ids = pd.array([None if z else int(x) for x, z in zip(p.doc_ids, p.nulls, strict=True)], dtype="Int64")
+        return pd.DataFrame({
+            "shard": key[0], "ordinal": np.arange(n), "doc_id": doc_ids, "digest": p.digests, "n_words": p.lengths, "spans": spans,
+            "items": [sorted(x) for x in by_item], "near": [sorted(x) for x in near],
+        })
 
     return index.groupBy("shard").applyInPandas(look, FOUND)
 
@@ -209,7 +222,8 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """Contamination of every row of ``docs`` (doc_id, text) by ``benchmark`` (item_id, text).
 
-    Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, near).
+    Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, near, digest); digest is
+    :func:`digest_of` the text, for callers whose ids may be null or repeat.
     Null and empty texts have no words and no hits; null item_ids are read as the text "null"; items of
     equal id count once; repeated rows stay rows of their own; an empty benchmark hits nothing;
     no documents give no rows.  Other columns are ignored.
@@ -231,21 +245,27 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
     if n_blocks > 1:
         for b in blocks[1:]:
             found = found.unionByName(search(index, read(b), slop))
-        found = found.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("many"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")))
-        found = found.select("doc_id", "n_words", F.expr("aggregate(many, cast('' as binary), (a, x) -> concat(a, x))").alias("spans"), "items", "near")
+        one = [F.first(c).alias(c) for c in ("doc_id", "digest", "n_words")]
+        found = found.groupBy("shard", "ordinal").agg(*one, F.collect_list("spans").alias("many"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")))
+        joined = F.expr("aggregate(many, cast('' as binary), (a, x) -> concat(a, x))").alias("spans")
+        found = found.select("doc_id", "digest", "n_words", joined, "items", "near")
+
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "near", "digest"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string()), pa.binary()]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc_id, n, spans, items, near in rows(batch, "doc_id", "n_words", "spans", "items", "near"):
+            out: list[list] = [[] for _ in names]
+            for doc_id, n, spans, items, near, digest in rows(batch, "doc_id", "n_words", "spans", "items", "near", "digest"):
                 pairs, items = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64), sorted(set(items))
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, pairs[:, 0], 1)
                 np.add.at(edge, pairs[:, 1], -1)
                 hit = int((np.cumsum(edge)[:n] > 0).sum())
-                for c, v in zip(out, (doc_id, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, items, spans, sorted(set(near))), strict=True):
+                own = (doc_id, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, items, spans, sorted(set(near)), digest)
+                for c, v in zip(out, own, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return found.mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary, near array<string>")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary, near array<string>, digest binary"
+    return found.mapInArrow(finish, schema)

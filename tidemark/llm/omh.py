@@ -7,13 +7,12 @@ labelled shingle sequences verifies them.  The similarity is the number of align
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
@@ -90,19 +89,24 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return (total - left) / (total + left) if good else 0.0
 
 
+def digest_of(text: str) -> Column:
+    """The 128 bits by which equal texts are known."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def sketch_table(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, keys) of each document that has a text; keys is empty for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            keys = []
             for (text,) in rows(batch, "text"):
                 h = labelled(text)
-                digests.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 keys.append(sketches(h).view(np.int64) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest"), "text")
+    return own.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -202,7 +206,7 @@ def _finish(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, class_id, kept) for each row of ``docs`` (doc_id, text); class_id is the smallest doc_id linked to it.
+    """(doc_id, class_id, digest, kept) for each row of ``docs`` (doc_id, text); class_id is the smallest doc_id linked to it.
 
     Equal texts form one class, whose smallest doc_id stands for it.  In each bucket of equal sketches
     the smallest text, the pivot, is compared with the others, and classes are formed.  Where a bucket's other texts are then not all of
@@ -211,12 +215,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     So all pairs that share a sketch are decided on: none is cut off.  Pairs are counted inside the tasks and are not written as rows.
     Texts with fewer than five words have one shingle of all their words; null texts, texts without words and
     null doc_ids are their own class (equal non-null texts share one); order of rows and ties do not matter; repeated rows
-    give repeated rows.  Other columns are ignored.
+    give repeated rows, and rows of one doc_id with unlike texts are told apart by ``digest``.  Other columns are ignored.
     """
     scratch = scratch or Scratch(spark, "omh")
     table = scratch.save(sketch_table(docs), "sketches")
     groups = table.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = scratch.save(table.select("doc_id", "digest").distinct().join(groups, "digest").select("doc_id", "rep"), "members")
+    members = scratch.save(table.select("doc_id", "digest").distinct().join(groups, "digest").select("doc_id", "digest", "rep"), "members")
     reps = table.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = reps.where(F.size("keys") > 0)
     level = scratch.save(reps.select("doc_id", F.posexplode("keys").alias("at", "bucket")), "level0")
@@ -250,8 +254,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     scratch.drop("rest")
     if more.limit(1).count():
         found = components(done.where("ok").select("a", "b").unionByName(more), scratch, "cc2_")
-    classes = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).distinct()
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes, "doc_id", "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    classes = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "digest", F.coalesce("component", "rep").alias("class_id"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest")).join(classes, ["doc_id", "digest"], "left")
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "digest")
     scratch.drop("texts", "keys")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
