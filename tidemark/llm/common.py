@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import sys
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DIR = "file:///tmp/checkpoints/tidemark"
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows in a batch that goes to a Python worker; with whole texts Spark's default of 10,000 takes too much memory on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +47,8 @@ class Scratch:
     live: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, label: str):
+        if spark.conf.get(_BATCH, "10000") == "10000":  # a session's own choice stands
+            spark.conf.set(_BATCH, BATCH_ROWS)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex[:12]}"
         Scratch.live.append(self)
 
@@ -93,6 +99,22 @@ def worker_cache(name: str, make):
     return held[name]
 
 
+def lean(run):
+    """``run`` over a task's batches; what it freed goes back to the system at the task's end, so that idle workers stay small."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit words (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

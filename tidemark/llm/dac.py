@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, rows
+from tidemark.llm.common import Scratch, lean, rows
 from tidemark.llm.tokens import coder, tokenizer_json
 
 MAGIC = b"TMDAC001"
@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, scratch: Scratch,
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    manifest = scratch.save(ordered.mapInArrow(write, "file_no long, n_docs long, n_tokens long"), "manifest")
+    manifest = scratch.save(ordered.mapInArrow(lean(write), "file_no long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -167,7 +167,7 @@ def read_documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(crc), no)), doc_ids, pa.array(s[:-1]), pa.array(np.diff(s)), pa.array(crc, pa.int64())], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(path).select("path", "content")
-    found = files.mapInArrow(read, "file_no long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    found = files.mapInArrow(lean(read), "file_no long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return found.join(manifest.select("file_no", "base"), "file_no").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

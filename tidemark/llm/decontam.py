@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, rows
+from tidemark.llm.common import Scratch, lean, rows
 
 SHARD_WORDS = 1_000_000
 #: Query words that one broadcast may hold; more are searched in as many blocks.
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
         if doc_ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest_of("text").alias("digest")).mapInArrow(build, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest_of("text").alias("digest")).mapInArrow(lean(build), INDEX)
 
 
 def windows(items: list[tuple[str, list[bytes]]], size: int) -> dict[tuple[bytes, ...], list[str]]:
@@ -155,7 +155,7 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
         for b in batches:
             yield b.filter(pa.array([t in known.value or t == _DOCS for t in b.column(1).to_pylist()], pa.bool_()))
 
-    index = index.mapInArrow(asked, INDEX)
+    index = index.mapInArrow(lean(asked), INDEX)
     total = {bytes(r[0]): r[1] for r in index.where(F.length("term") > 0).groupBy("term").agg(F.sum("n")).collect()}  # at most a row for each query term
     numbers = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (total.get(t, 0), t)))}  # the rarest first
     found = [(w, items) for w, items in queries.items() if all(total.get(t) for t in w)]
@@ -268,4 +268,4 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans binary, near array<string>, digest binary"
-    return found.mapInArrow(finish, schema)
+    return found.mapInArrow(lean(finish), schema)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, rows
+from tidemark.llm.common import Scratch, lean, rows
 from tidemark.llm.graph import components
 
 DIMS, BLOCK, LEAF, SAMPLE = 8, 512, 64, 2000
@@ -44,7 +44,7 @@ def _basis(sample: DataFrame) -> dict[int, np.ndarray]:
             _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=True)
             yield pa.RecordBatch.from_pydict({"n": [n], "basis": [vt[:DIMS].astype("<f8").tobytes()]})
 
-    got = sample.coalesce(1).mapInArrow(run, "n long, basis binary").collect()
+    got = sample.coalesce(1).mapInArrow(lean(run), "n long, basis binary").collect()
     return {r[0]: np.frombuffer(bytes(r[1]), "<f8").reshape(-1, r[0]) for r in got}
 
 
@@ -92,11 +92,11 @@ def _blocks(reps: DataFrame, eps: float, bases: dict[int, np.ndarray]) -> DataFr
         if held:
             yield close()
 
-    placed = reps.mapInArrow(project, "rep long, mult long, label string, embedding array<double>, cell array<int>, point binary")
+    placed = reps.mapInArrow(lean(project), "rep long, mult long, label string, embedding array<double>, cell array<int>, point binary")
     order = ["label", F.size("embedding"), *(F.col("cell")[i] for i in range(DIMS)), "rep"]
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "part long, k long, label string, n int, lo array<double>, hi array<double>, ids binary, mults binary, vectors binary, points binary"
-    return ordered.mapInArrow(cut, schema)
+    return ordered.mapInArrow(lean(cut), schema)
 
 
 def near_blocks(meta: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
@@ -219,8 +219,8 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
                 yield _found(r, None, cosine, eps)
 
     kind = "rep long, n long, low long"
-    across = near.join(load("a"), "a").join(load("b"), "b").drop("a", "b").mapInArrow(join, kind)
-    found = scratch.save(blocks.select(*held).mapInArrow(join_own, kind).unionByName(across), "found")
+    across = near.join(load("a"), "a").join(load("b"), "b").drop("a", "b").mapInArrow(lean(join), kind)
+    found = scratch.save(blocks.select(*held).mapInArrow(lean(join_own), kind).unionByName(across), "found")
     comp = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")), scratch).withColumnsRenamed({"id": "rep", "component": "comp"})
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     links = (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
+from tidemark.llm.common import Scratch, lean, mix64, rows, shingle_hashes, word_hash
 
 WINDOW, GRAM = 35, 8
 #: A minimiser with more distinct segments than this is dealt window by window, by all of a window's words.
@@ -254,7 +254,7 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["mini", "seg", "d", "th", "first", "count"])
 
     kind = "mini long, seg long, d long, th long, first long, count long"
-    places = scratch.save(keyed.select("d", "th", "text").where("text is not null").mapInArrow(cut, kind), "all")
+    places = scratch.save(keyed.select("d", "th", "text").where("text is not null").mapInArrow(lean(cut), kind), "all")
     # Written, so that the join below reads two plain shuffles and a frequent minimiser can be split
     shared = scratch.save(places.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini"), "shared")
     places = scratch.save(places.join(shared, "mini", "left_semi"), "places")
@@ -286,7 +286,7 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names=["mini", "seg", "j", "win", "win2", "copies", "text"])
 
     texts = keyed.select("d", "th", "text").join(wanted, ["d", "th"])
-    cutout = scratch.save(texts.mapInArrow(slices, "mini long, seg long, j long, win long, win2 long, copies long, text binary"), "slices")
+    cutout = scratch.save(texts.mapInArrow(lean(slices), "mini long, seg long, j long, win long, win2 long, copies long, text binary"), "slices")
     plain = cutout.where("j < 0").select("mini", "seg", "text", "copies", F.lit(0).cast("long").alias("alone"))
     split = cutout.where("j >= 0").groupBy("win", "win2").agg(F.first("text").alias("text"), F.least(F.sum("copies"), F.lit(2)).alias("copies")).select(F.col("win").alias("mini"), F.col("win2").alias("seg"), "text", "copies", F.lit(1).cast("long").alias("alone"))
     size = cutout.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -326,4 +326,4 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*ticked).schema.fields), "n_words long, n_removed long, kept_sha256 string, spans binary, kept string"])
     own = docs.select(*ticked, key[0].alias("__d"), key[1].alias("__th"))
     runs = per.withColumnsRenamed({"d": "__d", "th": "__th", "runs": "__runs"})
-    return own.join(runs, ["__d", "__th"], "left").mapInArrow(keep, schema)
+    return own.join(runs, ["__d", "__th"], "left").mapInArrow(lean(keep), schema)

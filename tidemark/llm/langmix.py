@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows, worker_cache
+from tidemark.llm.common import lean, rows, worker_cache
 
 BUCKETS = 1 << 15
 
@@ -57,7 +57,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at])], names=["lang", "bucket", "n"])
 
     known = docs.where("text is not null and lang is not null").select("text", "lang")
-    got = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = known.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     p = np.full((len(langs), BUCKETS), 0.5)
     for i, lang in enumerate(langs):
@@ -124,4 +124,4 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
             a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(extra))), pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.list_(pa.string())), pa.array(d, pa.list_(pa.float64()))], names=["doc_id", *extra, "lang_pred", "score", "langs", "shares"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(guess, "doc_id long, " + "".join(f"{c} boolean, " for c in extra) + "lang_pred string, score double, langs array<string>, shares array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(lean(guess), "doc_id long, " + "".join(f"{c} boolean, " for c in extra) + "lang_pred string, score double, langs array<string>, shares array<double>")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, mix64, rows, shingle_hashes, word_hash
+from tidemark.llm.common import Scratch, lean, mix64, rows, shingle_hashes, word_hash
 from tidemark.llm.graph import components
 
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
@@ -106,7 +106,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest"), "text")
-    return own.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return own.where("doc_id is not null and text is not null").mapInArrow(lean(run), "doc_id long, digest binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -128,7 +128,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             new = [pa.array(c, pa.bool_() if i == 3 else pa.int64()) for i, c in enumerate(out)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["a", "b", "d", "n_a", "n_b", "ok"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d long, n_a long, n_b long, ok boolean")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long, d long, n_a long, n_b long, ok boolean")
 
 
 def overlaps(hs: list[np.ndarray]) -> np.ndarray:
@@ -202,7 +202,7 @@ def _finish(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield found()
 
     own = dealt.join(texts, "doc_id").select("bucket", "lo", "hi", "doc_id", "cls", "block", "text")
-    return own.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
+    return own.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:

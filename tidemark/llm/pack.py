@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, mix64, rows
+from tidemark.llm.common import Scratch, lean, mix64, rows
 from tidemark.llm.tokens import coder, tokenizer_json
 
 DIMS, BITS = 4, 12
@@ -117,13 +117,13 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0,
                     start += k
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    coded = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, key long, doc_tokens long, ids binary"), "coded")
+    coded = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encode), "doc_id long, key long, doc_tokens long, ids binary"), "coded")
     size = coded.agg(F.sum("doc_tokens")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, 4 * size // SORT_BYTES + 1)
     ordered = coded.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn("part", F.spark_partition_id())
-    placed = scratch.save(ordered.mapInArrow(place, "doc_id long, doc_tokens long, ids binary, part int, local long"), "placed")
+    placed = scratch.save(ordered.mapInArrow(lean(place), "doc_id long, doc_tokens long, ids binary, part int, local long"), "placed")
     scratch.drop("coded")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("part").agg(F.sum("doc_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     located = placed.join(F.broadcast(bases), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("at"))  # bases: a row for each partition
-    return located.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return located.mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, rows
+from tidemark.llm.common import Scratch, lean, rows
 
 FEATURES, GAMMA, RIDGE, BINS = 256, 0.02, 1.0, 2000
 _SINGLE = b"|$#%&*!?{}<>=_-@/\\+~^\"'`:;,.()[]"
@@ -59,7 +59,7 @@ def describe(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t).tobytes() for (t,) in rows(b, "text")], pa.binary())], names=["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, stats binary")
 
 
 @dataclass
@@ -106,7 +106,7 @@ def _summed(df: DataFrame, compute, size: int) -> np.ndarray:
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [key[0]], "v": [np.sum([np.frombuffer(bytes(v), "<f8") for v in pdf["v"]], axis=0).astype("<f8").tobytes()]})
 
-    got = df.mapInArrow(part, "i int, v binary").groupBy("i").applyInPandas(add, "i int, v binary").collect()
+    got = df.mapInArrow(lean(part), "i int, v binary").groupBy("i").applyInPandas(add, "i int, v binary").collect()
     return np.array([np.frombuffer(bytes(r[1]), "<f8") for r in sorted(got)]) if got else np.zeros((0, 0))
 
 
@@ -192,7 +192,7 @@ def score(spark: SparkSession, stats: DataFrame, model: Model) -> DataFrame:
             s = sent.value.score(_stack(b)) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(s, pa.float64())], names=[*(f.name for f in kept), "score"])
 
-    return stats.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"]))
+    return stats.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"]))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, scratch: Scratch | None = None) -> DataFrame:
@@ -228,4 +228,4 @@ def accept(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
                 x = np.array([statistics(t) for (t,) in rows(b, "text")], np.float64)
                 yield b.filter(pa.array(sent.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
