@@ -23,9 +23,8 @@ def duplicate_keys(df: DataFrame, keys: list[str], unique: bool = False) -> Data
     return df.where(~exempt).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def enforce(df: DataFrame, not_null: list[str], primary: list[str], unique: list[list[str]]) -> None:
-    if null_rows(df, not_null).limit(1).count():
-        raise ConstraintViolation(f"null in a NOT NULL column of {not_null}")
-    for keys, name in [(primary, "primary key"), *((u, "unique index") for u in unique)]:
-        if keys and duplicate_keys(df, keys, name != "primary key").limit(1).count():
-            raise ConstraintViolation(f"repeated {name} {keys}")
+def repeated_keys(rows: DataFrame, keys_of: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
+    """Keys among those of ``keys_of`` that several of ``rows`` hold; the rest of the table is only looked up, not grouped."""
+    wanted = keys_of.select(*(F.col(f"`{k}`").alias(f"w{i}") for i, k in enumerate(keys))).distinct()
+    match = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"w{i}")) for i, k in enumerate(keys)])
+    return duplicate_keys(rows.join(wanted, match, "left_semi"), keys, unique)

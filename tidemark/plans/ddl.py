@@ -49,6 +49,32 @@ class DropIndex:
         return f"DROP INDEX {self.name}"
 
 
+@dataclass
+class AddColumn:
+    table: str
+    name: str
+    type: str
+
+    def text(self) -> str:
+        return f"ALTER TABLE {self.table} ADD COLUMN {self.name} {self.type}"
+
+
+@dataclass
+class DropColumn:
+    table: str
+    name: str
+
+    def text(self) -> str:
+        return f"ALTER TABLE {self.table} DROP COLUMN {self.name}"
+
+
+@dataclass
+class AlterColumn:
+    table: str
+    name: str
+    type: str
+
+
 @dataclass
 class RenameTable:
     name: str
@@ -63,7 +89,7 @@ class RenameColumn:
 
 
 def apply(session: EngineSession, change) -> None:
-    """Runs a definition; renames are reported as unsupported."""
+    """Runs a definition; renames and changes of type are reported as unsupported."""
     if not hasattr(change, "text"):
         raise Unsupported(type(change).__name__)
     session.sql(change.text())

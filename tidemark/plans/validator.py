@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import types as T
 
 
@@ -11,20 +9,9 @@ class BindError(Exception):
     pass
 
 
-_STRINGS = re.compile(r"'(?:[^'\\]|\\.)*'|--[^\n]*|/\*.*?\*/", re.S)
-_NULL_TEST = re.compile(r"(=|<>|!=|<=|>=|<|>)\s*NULL\b|\bNULL\s*(=|<>|!=|<=|>=|<|>)", re.I)
 _INTEGERS = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
 
 
-def check_text(sql: str) -> None:
-    """Rejects comparisons with a NULL literal in a query; assignments in UPDATE ... SET are no comparisons."""
-    plain = _STRINGS.sub("''", sql)
-    if re.match(r"\s*UPDATE\b", plain, re.I):
-        plain = re.split(r"\bWHERE\b", plain, maxsplit=1, flags=re.I)[1] if re.search(r"\bWHERE\b", plain, re.I) else ""
-    if _NULL_TEST.search(plain):
-        raise BindError("a comparison with NULL is never true; use IS NULL")
-
-
 def arithmetic_type(a: T.DataType, b: T.DataType) -> T.DataType:
     """Operands have one numeric type, or are integers of two widths, which widen to 64 bits."""
     if isinstance(a, _INTEGERS) and isinstance(b, _INTEGERS):
