@@ -101,7 +101,8 @@ class WaveletTree:
     def __init__(self, sequence: np.ndarray, counts: np.ndarray):
         self.length = code_lengths(counts)
         order = np.lexsort((np.arange(len(counts)), self.length))  # canonical: shorter codes first, and so the smaller prefixes
-        self.code = np.zeros(len(counts), np.int64)
+        self.length = self.length.astype(np.int32)
+        self.code = np.zeros(len(counts), np.int32)  # a code of 32 bits takes millions of words
         code, last = -1, int(self.length[order[0]])
         for s, n in zip(order.tolist(), self.length[order].tolist(), strict=True):
             code, last = (code + 1) << (n - last), n
@@ -112,25 +113,37 @@ class WaveletTree:
             on = length > level
             code, length = code[on], length[on]
             prefix = code >> (length - level)
-            by = np.argsort(prefix, kind="stable")  # nodes side by side, each in the order of the sequence
+            node = prefix - prefix.min()
+            if len(node) and node.max() < 1 << 16:
+                node = node.astype(np.uint16)  # for which numpy has a radix sort
+            by = np.argsort(node, kind="stable")  # nodes side by side, each in the order of the sequence
             code, length, prefix = code[by], length[by], prefix[by]
             bits = RankBits((code >> (length - level - 1)) & 1 == 1)
-            least = int(prefix[0])
-            start = np.searchsorted(prefix, np.arange(least, int(prefix[-1]) + 1)).astype(np.int64)
+            least = np.int32(prefix[0])
+            start = np.searchsorted(prefix, np.arange(least, prefix[-1] + 1)).astype(np.int64)
             self.levels.append((bits, least, start, bits.ones(start)))
 
-    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place."""
-        place, code, length = place.astype(np.int64), self.code[symbol], self.length[symbol]
-        on = np.arange(len(symbol))
+    def rank(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """How often each symbol stands before its place in each of ``places``."""
+        out = [np.empty(len(symbol), np.int64) for _ in places]
+        on, code, length = np.arange(len(symbol)), self.code[symbol], self.length[symbol]
+        at = [p.astype(np.int64) for p in places]
         for level, (bits, least, start, before) in enumerate(self.levels):
-            if level:
-                on = on[length[on] > level]
-            c, n, p = code[on], length[on], place[on]
-            node = (c >> (n - level)) - least
-            ones = bits.ones(start[node] + p) - before[node]
-            place[on] = np.where((c >> (n - level - 1)) & 1 == 1, ones, p - ones)
-        return place
+            more = length > level
+            if not more.all():
+                done = on[~more]
+                for o, p in zip(out, at, strict=True):
+                    o[done] = p[~more]
+                on, code, length, at = on[more], code[more], length[more], [p[more] for p in at]
+            shift = length - level
+            node = (code >> shift) - least
+            base, less, right = start[node], before[node], (code >> (shift - 1)) & 1 == 1
+            for i, p in enumerate(at):
+                ones = bits.ones(base + p) - less
+                at[i] = np.where(right, ones, p - ones)
+        for o, p in zip(out, at, strict=True):
+            o[on] = p
+        return out
 
 
 class FMIndex:
@@ -164,8 +177,9 @@ class FMIndex:
 
     def step(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix ranges with one more word to the left."""
-        both = self.tree.rank(np.concatenate([word, word]) + 1, np.concatenate([lo, hi])) + np.tile(self.first[word + 1], 2)
-        return both[: len(word)], both[len(word) :]
+        before = self.first[word + 1]
+        lo, hi = self.tree.rank(word + 1, lo, hi)
+        return before + lo, before + hi
 
     def reach(self, stream: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """The least start, not under ``limit``, of a run of the stream's words up to ``end`` that occurs twice or more; end + 1 for none."""
