@@ -65,8 +65,9 @@ def ieee_mod(a, b) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, F.lit(float("nan"))).otherwise(a % F.when(b != 0, b))
 
 
-def negate(a) -> Column:
-    return -_col(a)
+def negate(a, integer: bool = False) -> Column:
+    """-a; an integer's is held within 64 bits, so the least one gives the greatest."""
+    return sat_sub(F.lit(0), a) if integer else -_col(a)
 
 
 def ascending(c) -> Column:

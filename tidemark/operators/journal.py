@@ -14,15 +14,39 @@ def snapshot(events: DataFrame, at: int | None = None, key: str = "row_id", seq:
 
 
 def once(events: DataFrame, key: str = "event_id", seq: str = "seq") -> DataFrame:
-    """Each event id's first entry."""
+    """Each event id's first entry; events with a null id are all kept."""
     rest = [c for c in events.columns if c != key]
-    return events.groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("_r")).select(key, "_r.*")
+    own = F.when(F.col(key).isNull(), F.col(seq))  # tells apart what has no id
+    return events.groupBy(key, own.alias("_own")).agg(F.min_by(F.struct(*rest), seq).alias("_r")).select(key, "_r.*")
+
+
+class Gap(Exception):
+    """The next sequence is missing, or lies behind what was applied."""
+
+
+def apply_next(state: DataFrame, events: DataFrame, applied: int) -> tuple[DataFrame, int]:
+    """``state`` (row_id, seq, op, ...) with the events after ``applied``, each event id taken once, and the sequence then applied.
+
+    Events up to ``applied`` are repeats and change nothing; the rest must follow without a gap, or nothing is applied.
+    """
+    fresh = events.where(F.col("seq") > applied)
+    low, high, n = fresh.agg(F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()
+    if not n:
+        return state, applied
+    if low != applied + 1 or high - low + 1 != n:
+        raise Gap(f"{n} sequences from {low} to {high} after {applied}")
+    new = once(fresh).select(*state.columns)
+    return snapshot(state.unionByName(new)).select(*state.columns), high
 
 
 def idempotent(events: DataFrame) -> DataFrame:
-    """Entries (producer_id, idem_key, seq, ...) with the sequence they resolve to and whether they repeat an earlier one."""
-    firsts = events.groupBy("producer_id", "idem_key").agg(F.min("seq").alias("original_seq"))
-    return events.join(firsts, ["producer_id", "idem_key"]).withColumn("replay", F.col("seq") > F.col("original_seq"))
+    """Entries (producer_id, idem_key, seq, ...) with the sequence they resolve to and whether they repeat an earlier one.
+
+    One window over the key, no join back.  Entries without a producer or key repeat nothing.
+    """
+    keyed = F.col("producer_id").isNotNull() & F.col("idem_key").isNotNull()
+    same = Window.partitionBy("producer_id", "idem_key", F.when(~keyed, F.col("seq")))
+    return events.withColumn("original_seq", F.min("seq").over(same)).withColumn("replay", F.col("seq") > F.col("original_seq"))
 
 
 def retention_floor(*pins: DataFrame) -> DataFrame:
@@ -64,11 +88,6 @@ def compaction_candidate(segments: DataFrame, min_segments: int, max_bytes: int)
     return best.orderBy("part").limit(1)
 
 
-def compact(log: DataFrame, path: str, files: int = 1) -> None:
-    """Rewrites a log into fewer files; every record is kept."""
-    log.coalesce(files).write.mode("overwrite").parquet(path)
-
-
 def replay(events: DataFrame, start: int, limit: int, seq: str = "seq") -> DataFrame:
     """Entries from a sequence on; offsets do not move."""
     return events.where(F.col(seq) >= start).orderBy(seq).limit(limit)
