@@ -19,6 +19,8 @@ from tidemark.plans.markers import workspace
 from tidemark.plans.session import EngineSession
 from tidemark.sources.journal import Journal
 from tidemark.sources.tables import merge, sequence_faults, table
+from tidemark.streaming import flows
+from tidemark.streaming.consumers import Group, GroupPolicy, Retries, Subscription
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,9 +416,16 @@ _EV = "SELECT event_id + 1 AS seq, ts, event_type || '/' || CAST(user_id AS VARC
 _BASE = "SELECT DISTINCT event_type || '/' || CAST(user_id % 40 AS VARCHAR) AS path, 'sealed' AS payload FROM events"
 
 
+def _shaped(e: DataFrame) -> DataFrame:
+    return e.select(
+        (F.col("event_id") + 1).alias("seq"), "ts", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("kind"),
+        ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)).alias("deleted"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("payload"),
+        "event_id", "user_id", (F.col("event_id") % 8).alias("part"),
+    )
+
+
 def _events(spark, d):
-    e = table(spark, d, "events", "event_id", "ts", "event_type", "user_id")
-    return e.select((F.col("event_id") + 1).alias("seq"), "ts", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("kind"), ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)).alias("deleted"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("payload"), "event_id", "user_id", (F.col("event_id") % 8).alias("part"))
+    return _shaped(table(spark, d, "events", "event_id", "ts", "event_type", "user_id"))
 
 
 _EV = _EV.replace("CAST(value AS VARCHAR) AS payload", "'p' || CAST(event_id AS VARCHAR) AS payload")
@@ -449,10 +458,8 @@ def prefix_scan(spark, d):
 
 @query(f"SELECT seq, trigger_id, target FROM ({_EV}) e JOIN (VALUES ('t1', 'purchase', 'purchase', 'out-a'), ('t2', 'error', 'error/1', 'out-b'), ('t3', 'purchase', 'purchase/7', 'out-c')) t(trigger_id, on_kind, path_prefix, target) ON e.kind = t.on_kind AND (e.path = t.path_prefix OR starts_with(e.path, t.path_prefix || '/'))")
 def trigger_forward(spark, d):
-    from tidemark.streaming.flows import forward
-
     triggers = spark.createDataFrame([("t1", "purchase", "purchase", "out-a"), ("t2", "error", "error/1", "out-b"), ("t3", "purchase", "purchase/7", "out-c")], "trigger_id string, on_kind string, path_prefix string, target string")
-    return forward(_events(spark, d), triggers).select("seq", "trigger_id", "target")
+    return flows.forward(_events(spark, d), triggers).select("seq", "trigger_id", "target")
 
 
 @query(f"SELECT seq, kind FROM ({_EV}) ORDER BY seq DESC LIMIT 500")
@@ -822,349 +829,6 @@ def session_statistics(spark, d):
 # ---- a journal of its own, filled with all events
 
 
-@query(f"SELECT seq, {_crc32c_sql('path')} % 8 AS partition FROM ({_EV})")
-def partition_route(spark, d):
-    return _events(spark, d).select("seq", partition_of("path", 8).alias("partition"))
-
-
-# ---- consumers
-
-_DELIVERED = f"SELECT 'c' || CAST(part AS VARCHAR) AS consumer, seq FROM ({_EV}) WHERE seq > 100"
-_OPEN = f"SELECT consumer, seq FROM ({_DELIVERED}) WHERE seq % 211 = 0"
-
-
-def _delivered(spark, d):
-    return _events(spark, d).where("seq > 100").select(F.concat(F.lit("c"), F.col("part").cast("string")).alias("consumer"), "seq")
-
-
-def _offsets(spark):
-    return spark.range(0, 8).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("consumer"), F.lit(100).cast("long").alias("offset"))
-
-
-@query(f"SELECT o.consumer, greatest(100, coalesce(h.hole - 1, d.high, 100)) AS \"offset\" FROM (SELECT 'c' || CAST(range AS VARCHAR) AS consumer FROM range(8)) o LEFT JOIN (SELECT consumer, min(seq) AS hole FROM ({_OPEN}) GROUP BY consumer) h ON o.consumer = h.consumer LEFT JOIN (SELECT consumer, max(seq) AS high FROM ({_DELIVERED}) GROUP BY consumer) d ON o.consumer = d.consumer")
-def contiguous_offset(spark, d):
-    sent = _delivered(spark, d)
-    return C.contiguous_offset(_offsets(spark), sent.where("seq % 211 <> 0"), sent)
-
-
-@query(f"SELECT consumer, seq, seq % 3 AS attempt, CASE WHEN seq % 5 = 0 THEN 'unknown' WHEN seq % 3 < 2 THEN 'stale' ELSE 'acked' END AS outcome FROM ({_DELIVERED})")
-def ack_batch(spark, d):
-    sent = _delivered(spark, d)
-    return C.classify_acks(sent.withColumn("attempt", F.col("seq") % 3), sent.where("seq % 5 <> 0").withColumn("attempt", F.lit(2)))
-
-
-@query("SELECT range AS attempt, CAST(least(floor(100 * pow(2, least(greatest(range - 1, 0), 16))), 30000) AS BIGINT) AS delay_ms FROM range(1, 25)")
-def backoff_schedule(spark, d):
-    return spark.range(1, 25).select(F.col("id").alias("attempt"), S.backoff("id").alias("delay_ms"))
-
-
-@query(f"SELECT consumer, seq, seq % 7 AS attempt, '_system/dlq/' || consumer || '/' || CAST(seq AS VARCHAR) AS dlq_path FROM ({_DELIVERED}) WHERE seq % 7 >= 5")
-def dlq_split(spark, d):
-    return C.dead_letters(_delivered(spark, d).withColumn("attempt", F.col("seq") % 7))
-
-
-@query(f"SELECT 'c' || CAST(range AS VARCHAR) AS consumer, 100::BIGINT AS \"offset\", (SELECT max(seq) FROM ({_EV})) AS head, (SELECT max(seq) FROM ({_EV})) - 100 AS lag FROM range(8)")
-def consumer_lag(spark, d):
-    return C.lag(_offsets(spark), _events(spark, d))
-
-
-@query(f"SELECT seq, path FROM ({_EV}) WHERE seq >= 300 ORDER BY seq LIMIT 64")
-def replay_window(spark, d):
-    return J.replay(_events(spark, d), 300, 64).select("seq", "path")
-
-
-@query("SELECT p.range AS part, ['a', 'b', 'm'][CAST(p.range % 3 AS INTEGER) + 1] AS member FROM range(8) p")
-def group_assignment(spark, d):
-    members = spark.createDataFrame([("m",), ("a",), ("b",)], "member string")
-    return C.assign(_events(spark, d).select("part").distinct(), members)
-
-
-@query(f"SELECT part, min(seq) - 1 AS earliest, max(seq) AS latest FROM ({_EV}) GROUP BY part")
-def group_offsets(spark, d):
-    e = _events(spark, d)
-    return C.group_start(e, "earliest").withColumnRenamed("start", "earliest").join(C.group_start(e, "latest").withColumnRenamed("start", "latest"), "part")
-
-
-@query("SELECT range AS attempt, [0, 1, 5, 30, 60][CAST(least(range, 5) AS INTEGER)]::BIGINT AS delay_s FROM range(1, 9)")
-def group_backoff(spark, d):
-    return spark.range(1, 9).select(F.col("id").alias("attempt"), S.group_backoff("id").alias("delay_s"))
-
-
-@query(f"SELECT member, count(*) AS n_parts, min(part) AS first_part, max(latest) AS last_seq FROM (SELECT part, ['a', 'b', 'm'][CAST(part % 3 AS INTEGER) + 1] AS member, max(seq) AS latest FROM ({_EV}) GROUP BY part) GROUP BY member ORDER BY member")
-def group_describe(spark, d):
-    g = group_assignment(spark, d).join(C.group_start(_events(spark, d), "latest"), "part")
-    return g.groupBy("member").agg(F.count(F.lit(1)).alias("n_parts"), F.min("part").alias("first_part"), F.max("start").alias("last_seq")).orderBy("member")
-
-
-@query(f"SELECT kind AS consumer, max(seq) AS committed FROM ({_EV}) WHERE seq % 3 = 0 GROUP BY kind")
-def commit_offsets(spark, d):
-    return O.latest(_events(spark, d).where("seq % 3 = 0").select(F.col("kind").alias("consumer"), "seq"), "consumer").select("consumer", F.col("seq").alias("committed"))
-
-
-# ---- retention and compaction
-
-_SEG = f"SELECT part, segment, max(seq) AS end_seq, CAST(sum(length(path) + length(payload)) AS BIGINT) AS bytes FROM (SELECT *, event_id // 500 AS segment FROM ({_EV})) GROUP BY part, segment"
-
-
-def _segments(spark, d):
-    e = _events(spark, d).withColumn("segment", S.int_div("event_id", F.lit(500)))
-    return e.groupBy("part", "segment").agg(F.max("seq").alias("end_seq"), F.sum(F.length("path") + F.length("payload")).alias("bytes"))
-
-
-@query(f"SELECT min(pin) AS floor FROM (SELECT min(seq) AS pin FROM ({_EV}) WHERE kind = 'error' UNION ALL SELECT 900::BIGINT UNION ALL SELECT NULL)")
-def retention_watermark(spark, d):
-    e = _events(spark, d)
-    return J.retention_floor(e.where("kind = 'error'").agg(F.min("seq").alias("pin")), spark.range(900, 901).select(F.col("id").alias("pin")), spark.sql("SELECT CAST(NULL AS BIGINT) AS pin"))
-
-
-@query(f"SELECT max(seq) AS trim_to FROM ({_EV}) WHERE seq < (SELECT min(seq) FROM ({_EV}) WHERE ts >= (SELECT ts FROM ({_EV}) WHERE seq = 400))")
-def age_trim(spark, d):
-    e = _events(spark, d)
-    cutoff = e.where("seq = 400").agg(F.max("ts").alias("cutoff"))
-    return J.age_trim(e.join(F.broadcast(cutoff)), F.col("cutoff"))
-
-
-_SEG1 = _SEG.replace("SELECT part, segment", "SELECT segment").replace("GROUP BY part, segment", "GROUP BY segment")
-
-
-@query(f"SELECT max(end_seq) AS trim_to FROM (SELECT *, sum(bytes) OVER (ORDER BY segment DESC) AS kept FROM ({_SEG1})) WHERE kept > 50000")
-def bytes_trim(spark, d):
-    s = _segments(spark, d).groupBy("segment").agg(F.max("end_seq").alias("end_seq"), F.sum("bytes").alias("bytes"))
-    return J.bytes_trim(s, 50000)
-
-
-@query(f"SELECT least((SELECT max(seq) FROM ({_EV}) WHERE seq < 400), (SELECT max(end_seq) FROM (SELECT *, sum(bytes) OVER (ORDER BY segment DESC) AS kept FROM ({_SEG1})) WHERE kept > 50000)) AS trim_to")
-def combined_policy(spark, d):
-    return age_trim(spark, d).withColumnRenamed("trim_to", "a").crossJoin(bytes_trim(spark, d).withColumnRenamed("trim_to", "b")).select(F.least("a", "b").alias("trim_to"))
-
-
-@query(f"SELECT part, max(n) AS n_segments, CAST(max(total) AS BIGINT) AS total_bytes, max(end_seq) AS end_seq FROM (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM ({_SEG}) WINDOW w AS (PARTITION BY part ORDER BY segment)) WHERE total <= 5000 GROUP BY part HAVING max(n) >= 2 ORDER BY part LIMIT 1")
-def compaction_candidate(spark, d):
-    return J.compaction_candidate(_segments(spark, d), 2, 5000)
-
-
-@query(f"SELECT part, segment FROM ({_SEG}) WHERE end_seq <= 4000")
-def trim_segments(spark, d):
-    """Whole segments that end before the floor, which is the sequence 4000."""
-    return J.trim(_segments(spark, d), 4000, 4000).select("part", "segment")
-
-
-@query(f"{_as_of()}")
-def snapshot_recovery(spark, d):
-    """State at a snapshot with the later events over it is the state at the head."""
-    log = _log(spark, d)
-    first = J.snapshot(log, 500)
-    return J.snapshot(first.unionByName(log.where("seq > 500"))).select("row_id", "seq", "value")
-
-
-# ---- statements through a session over a log of its own
-
-
-def _session(spark, d, *tables: str) -> EngineSession:
-    """A new log, with whole tables attached for reading."""
-    db = EngineSession(spark, workspace(spark, "session"))
-    for t in tables:
-        db.attach(t, table(spark, d, t))
-    return db
-
-
-_FLAGSHIP = """SELECT r.r_name AS region, count(*) AS n_customers, CAST(sum(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_balance
-FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE c.c_acctbal > 0.0 GROUP BY r.r_name HAVING count(*) > 1 ORDER BY n_customers DESC, region LIMIT 5"""
-
-
-@query(_FLAGSHIP.replace("DESC", "DESC NULLS FIRST"))
-def session_query(spark, d):
-    """The flagship as SQL text, parsed and bound by the engine."""
-    return _session(spark, d, "customer", "nation", "region").sql(_FLAGSHIP)
-
-
-@query("SELECT p_partkey, " + ", ".join(f"{_CLAMP.format(e)} AS {n}" for e, n in (("9223372036854775000::HUGEINT + p_partkey", "plus"), ("(-9223372036854775000)::HUGEINT - p_partkey", "minus"), ("9000000000000000::HUGEINT * (p_partkey - 1000)", "times"))) + ", CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE -p_partkey // (p_partkey % 3) END AS quotient FROM part")
-def session_arithmetic(spark, d):
-    """SQL text has the engine's arithmetic: held at 64 bits, null for a zero divisor."""
-    return _session(spark, d, "part").sql("SELECT p_partkey, 9223372036854775000 + p_partkey AS plus, -9223372036854775000 - p_partkey AS minus, 9000000000000000 * (p_partkey - 1000) AS times, -p_partkey / (p_partkey % 3) AS quotient FROM part")
-
-
-@query(f"SELECT event_id, u FROM ({_NV}) WHERE u IN (1, 2, 3) OR u IS NULL ORDER BY u DESC NULLS FIRST, event_id OFFSET 7")
-def session_order(spark, d):
-    db = _session(spark, d)
-    db.attach("events", _nulls(spark, d))
-    return db.sql("SELECT event_id, u FROM events WHERE u IN (1, 2, 3) OR u IS NULL ORDER BY u DESC, event_id OFFSET 7")
-
-
-def _customers(spark, d) -> EngineSession:
-    db = _session(spark, d)
-    db.sql("CREATE TABLE customer (id BIGINT PRIMARY KEY, name TEXT NOT NULL, balance DOUBLE, segment TEXT, note TEXT DEFAULT 'none')")
-    db.insert("customer", table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment"))
-    return db
-
-
-@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'none' AS note FROM customer UNION ALL SELECT -1, 'new', -2.5, 'a,b' UNION ALL SELECT -2, 'newer', NULL, 'none'")
-def session_insert(spark, d):
-    db = _customers(spark, d)
-    db.sql("INSERT INTO customer (id, name, balance, note) VALUES (-1, 'new', -2.5, 'a,b')")
-    db.sql("INSERT INTO customer (id, name) VALUES (-2, 'newer')")
-    return db.sql("SELECT id, name, balance, note FROM customer")
-
-
-@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS balance, CASE WHEN c_acctbal < 0 THEN 'was ' || 'low' WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'none' END AS note FROM customer")
-def session_update(spark, d):
-    db = _customers(spark, d)
-    db.sql("UPDATE customer SET note = NULL WHERE segment = 'BUILDING'")
-    db.sql("UPDATE customer SET balance = 0.0, note = 'was low' WHERE balance < 0.0")
-    return db.sql("SELECT id, balance, note FROM customer")
-
-
-@query("SELECT c_custkey AS id FROM customer WHERE NOT (c_acctbal > 5000 AND c_mktsegment <> 'BUILDING')")
-def session_delete(spark, d):
-    db = _customers(spark, d)
-    db.sql("DELETE FROM customer WHERE balance > 5000.0 AND segment <> 'BUILDING'")
-    return db.sql("SELECT id FROM customer")
-
-
-@query("SELECT 'open' AS seen_in, c_custkey AS id, 'mine' AS note FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'other', c_custkey, 'none' FROM customer UNION ALL SELECT 'after', c_custkey, 'mine' FROM customer WHERE c_custkey % 2 = 0")
-def session_transaction(spark, d):
-    """An open transaction reads its own writes, another session does not, until they are committed; a rolled-back one leaves nothing."""
-    db = _customers(spark, d)
-    other = EngineSession(spark, db.log.root)
-    db.sql("BEGIN")
-    db.sql("DELETE FROM customer")
-    db.sql("ROLLBACK")
-    db.sql("BEGIN")
-    db.sql("DELETE FROM customer WHERE id % 2 = 1")
-    db.sql("UPDATE customer SET note = 'mine'")
-    seen = lambda s, name: s.sql("SELECT id, note FROM customer").select(F.lit(name).alias("seen_in"), "id", "note")
-    mine, before = seen(db, "open"), seen(other, "other")
-    db.sql("COMMIT")
-    return mine.unionByName(before).unionByName(seen(other, "after"))
-
-
-@query("SELECT c_custkey AS id, 'first' AS version FROM customer UNION ALL SELECT c_custkey, 'head' FROM customer WHERE c_acctbal >= 0")
-def session_snapshot(spark, d):
-    """A read as of an earlier sequence beside one of the head."""
-    db = _customers(spark, d)
-    at = db.log.head()
-    db.sql("DELETE FROM customer WHERE balance < 0.0")
-    first, head = db.table("customer", at=at), db.table("customer")
-    return first.select("id", F.lit("first").alias("version")).unionByName(head.select("id", F.lit("head").alias("version")))
-
-
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 3 END AS rank FROM customer")
-def session_alter(spark, d):
-    """A column that is dropped and added again starts with its default."""
-    db = _customers(spark, d)
-    db.sql("ALTER TABLE customer ADD COLUMN rank INT")
-    db.sql("UPDATE customer SET rank = 99")
-    db.sql("ALTER TABLE customer DROP COLUMN rank")
-    db.sql("ALTER TABLE customer ADD COLUMN rank INT DEFAULT 3")
-    db.sql("UPDATE customer SET rank = 7 WHERE id % 2 = 0")
-    return db.sql("SELECT id, rank FROM customer")
-
-
-@query("SELECT * FROM (VALUES ('column', 'customer', 'id', 0), ('column', 'customer', 'name', 1), ('column', 'customer', 'balance', 2), ('column', 'customer', 'segment', 3), ('column', 'customer', 'note', 4), ('index', 'customer', 'by_name', NULL), ('view', 'rich', 'rich', NULL)) v(kind, table_name, name, ordinal)")
-def session_catalog(spark, d):
-    """The system tables after definitions."""
-    db = _customers(spark, d)
-    db.sql("CREATE UNIQUE INDEX by_name ON customer (name)")
-    db.sql("CREATE VIEW rich AS SELECT id FROM customer WHERE balance > 9000.0")
-    db.sql("CREATE TABLE gone (a INT)")
-    db.sql("DROP TABLE gone")
-    columns = db.sql("SELECT table_name, name, ordinal FROM sys_columns WHERE table_name <> 'system_migrations'").select(F.lit("column").alias("kind"), "*")
-    indexes = db.sql("SELECT table_name, name FROM sys_indexes").select(F.lit("index").alias("kind"), "*", F.lit(None).cast("int").alias("ordinal"))
-    views = db.sql("SELECT name FROM sys_views").select(F.lit("view").alias("kind"), F.col("name").alias("table_name"), "name", F.lit(None).cast("int").alias("ordinal"))
-    return columns.unionByName(indexes).unionByName(views)
-
-
-@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000")
-def session_view(spark, d):
-    db = _customers(spark, d)
-    db.sql("CREATE VIEW rich AS SELECT id, balance FROM customer WHERE balance > 0.0")
-    db.sql("CREATE OR REPLACE VIEW rich AS SELECT id FROM customer WHERE balance > 9000.0")
-    return db.sql("SELECT id FROM rich")
-
-
-@query("SELECT * FROM (VALUES ('primary key', 'refused'), ('not null', 'refused'), ('unique', 'refused'), ('null key', 'taken'), ('conflict', 'refused'), ('null comparison', 'refused'), ('types', 'refused')) v(rule, outcome)")
-def session_constraints(spark, d):
-    """What the engine refuses, over the whole customer table."""
-    from tidemark.plans.changelog import WriteConflict
-    from tidemark.plans.validator import BindError
-
-    db = _customers(spark, d)
-    db.sql("CREATE UNIQUE INDEX by_note ON customer (name, note)")
-
-    def conflict():
-        late = EngineSession(spark, db.log.root)
-        late.sql("BEGIN")
-        late.sql("UPDATE customer SET note = 'late' WHERE id = 1")
-        db.sql("UPDATE customer SET note = 'early' WHERE id = 1")
-        late.sql("COMMIT")
-
-    name = db.table("customer").where("id = 2").first()["name"]
-    tries = {
-        "primary key": lambda: db.sql("INSERT INTO customer (id, name) VALUES (1, 'x')"), "not null": lambda: db.sql("UPDATE customer SET name = NULL WHERE id = 3"),
-        "unique": lambda: db.sql(f"INSERT INTO customer (id, name) VALUES (-5, '{name}')"), "null key": lambda: db.sql(f"INSERT INTO customer (id, name, note) VALUES (-6, '{name}', NULL)"),
-        "conflict": conflict, "null comparison": lambda: db.sql("SELECT id FROM customer WHERE note = NULL"), "types": lambda: db.sql("SELECT balance * id FROM customer"),
-    }
-    out = []
-    for rule, attempt in tries.items():
-        try:
-            attempt()
-            out.append((rule, "taken"))
-        except (constraints.ConstraintViolation, WriteConflict, BindError):
-            out.append((rule, "refused"))
-    return spark.createDataFrame(out, "rule string, outcome string")
-
-
-@query("SELECT * FROM (VALUES ('column', 'refused'), ('star', 'refused'), ('other case', 'refused'), ('nested', 'refused'), ('write', 'refused'), ('allowed', 'taken')) v(access, outcome)")
-def session_access(spark, d):
-    """Revoked columns and grants hold however a name is written."""
-
-    def grants(action: str, name: str) -> None:
-        if action != "select" or name.endswith(".nation"):
-            raise PermissionError(name)
-
-    db = EngineSession(spark, workspace(spark, "session"), None, {"customer": {"c_acctbal"}})
-    db.authorize = grants
-    for t in ("customer", "nation"):
-        db.attach(t, table(spark, d, t))
-    tries = {"column": "SELECT c_acctbal FROM customer", "star": "SELECT * FROM customer", "other case": "SELECT c_custkey FROM Nation, Customer", "nested": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM NATION)", "write": "CREATE TABLE t (a INT)", "allowed": "SELECT c_custkey FROM CUSTOMER"}
-    out = []
-    for access, text in tries.items():
-        try:
-            db.sql(text)
-            out.append((access, "taken"))
-        except PermissionError:
-            out.append((access, "refused"))
-    return spark.createDataFrame(out, "access string, outcome string")
-
-
-@query(" UNION ALL ".join(_stat(c).replace("FROM orders", "FROM (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 5 <> 0)") for c in ("id", "name", "segment")))
-def session_statistics(spark, d):
-    """Statistics follow the commits: rows that were deleted do not count."""
-    db = _customers(spark, d)
-    db.statistics("customer").collect()
-    db.sql("DELETE FROM customer WHERE id % 5 = 0")
-    return db.statistics("customer").where("column in ('id', 'name', 'segment')")
-
-
-# ---- a journal of its own, filled with all events
-
-
-def _journal(spark, d, parts: int = 8, appends: int = 1) -> Journal:
-    j = Journal(spark, workspace(spark, "journal"), parts)
-    e = _events(spark, d)
-    rows = e.select("seq", "path", "payload", "kind", F.when(F.col("deleted"), "delete").otherwise("put").alias("operation"), F.unix_millis("ts").alias("ts_ms"))
-    for k in range(appends):
-        low, high = (F.col("seq") * appends) >= 0, None
-        own = rows if appends == 1 else rows.where(F.floor((F.col("seq") - 1) / F.lit(_per(spark, d, appends))) == k)
-        j.append(own, 0, "seq")
-    return j
-
-
-def _per(spark, d, appends: int) -> int:
-    return -(-table(spark, d, "events").count() // appends)
-
-
 @query(f"SELECT seq, {_crc32c_sql('path')} % 8 AS part, path, kind FROM ({_EV})")
 def journal_append(spark, d):
     """Sequences without a hole in the order of events, dealt to partitions by CRC-32C."""
@@ -1220,3 +884,113 @@ def dead_letter_list(spark, d):
     j.append(e.select("seq", own.alias("path"), body.alias("payload"), F.lit("dead_letter").alias("kind")), 0, "seq")
     j.append(e.where("seq % 2 = 1").select("seq", own.alias("path"), F.lit("delete").alias("operation")), 0, "seq")
     return j.dead().select("consumer", "seq", "path", "attempts")
+
+
+# ---- streams and consumers, run to their end
+
+
+def _stream(spark, d, fields: str) -> DataFrame:
+    """All events as a stream of the fields of ``_events``."""
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    raw = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _shaped(raw).selectExpr(*fields.split(", "))
+
+
+@query(f"""SELECT path, count(*) AS n FROM (SELECT path FROM ({_EV}) WHERE path LIKE 'purchase/%'
+UNION ALL SELECT '_streams/out/' || path FROM ({_EV}) WHERE path = 'purchase/7') GROUP BY path""")
+def stream_ingest(spark, d):
+    """A stream's entries within its scope, once each though the stream runs twice from nothing, and what a trigger forwards."""
+    j, home = Journal(spark, workspace(spark, "journal"), 4), workspace(spark, "stream")
+    triggers = spark.createDataFrame([("t", "purchase", "purchase/7", "out")], "trigger_id string, on_kind string, path_prefix string, target string")
+    for k in range(2):
+        source = _stream(spark, d, "path, payload, kind")
+        flows.ingest(source, flows.StreamSpec("s", "purchase"), j, f"{home}/{k}", triggers).awaitTermination()
+    return j.read().groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT path, max(seq) AS seq FROM ({_EV}) GROUP BY path")
+def stream_overlay(spark, d):
+    """The latest patch of each path, kept by a streaming sink."""
+    home = workspace(spark, "stream")
+    flows.overlay_sink(_stream(spark, d, "path, seq, payload, deleted"), f"{home}/overlay", f"{home}/checkpoint").awaitTermination()
+    return flows.read_overlay(spark, f"{home}/overlay").select("path", "seq")
+
+
+@query(f"""SELECT part, seq, 'retry' AS state, 2::BIGINT AS attempts FROM ({_EV}) WHERE seq % 3 = 0
+UNION ALL SELECT part, seq, 'acked', CASE WHEN seq % 3 = 0 THEN 2::BIGINT ELSE 1 END FROM ({_EV}) WHERE seq % 2 = 0""")
+def stream_delivery(spark, d):
+    """Deliveries, refusals (every third) and acknowledgements (every second) through map state by partition."""
+    home, store = workspace(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    acts = _stream(spark, d, "part, seq").select("*", F.explode(F.array(*map(F.lit, ("event", "nack", "ack")))).alias("kind")).where("kind = 'event' or kind = 'nack' and seq % 3 = 0 or kind = 'ack' and seq % 2 = 0")
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = flows.deliver(acts).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    return spark.read.parquet(f"{home}/out").select("part", "seq", "state", "attempts")
+
+
+_FIRST = f"SELECT seq, row_number() OVER (ORDER BY seq) AS k FROM ({_EV}) WHERE path LIKE 'view/%'"
+
+
+@query(f"""SELECT k AS step, seq, CASE k WHEN 1 THEN 'acked' WHEN 2 THEN 'retry, dead' ELSE 'stale, acked' END AS outcome FROM ({_FIRST}) WHERE k <= 3
+UNION ALL SELECT 4, seq, 'dead letter' FROM ({_FIRST}) WHERE k = 2 UNION ALL SELECT 5, seq, 'offset' FROM ({_FIRST}) WHERE k = 3""")
+def subscription_run(spark, d):
+    """A subscription that another driver takes over: an acknowledged entry, one that dies, one acknowledged late; its dead letter and offset."""
+    j = Journal(spark, workspace(spark, "journal"), 4)
+    j.append(_events(spark, d).select("seq", "path", "payload"), 0, "seq")
+    open_ = lambda: Subscription(j, "reader", "view", Retries(max_attempts=2))
+    s, out = open_(), []
+    seq, attempt = s.consume(0)
+    out.append((1, seq, s.ack(seq, attempt)))
+    seq, _ = s.consume(10)
+    fate = [s.fail(seq, 10)]
+    s.consume(200)
+    out.append((2, seq, ", ".join([*fate, s.fail(seq, 200)])))
+    s = open_()
+    seq, _ = s.consume(300)
+    s.fail(seq, 300)
+    again = s.consume(500)
+    out.append((3, seq, ", ".join([s.ack(seq, 1), s.ack(*again)])))
+    rows = spark.createDataFrame(out, "step long, seq long, outcome string")
+    dead = s.dead().select(F.lit(4).cast("long").alias("step"), "seq", F.lit("dead letter").alias("outcome"))
+    return rows.unionByName(dead).unionByName(spark.createDataFrame([(5, s.offset, "offset")], "step long, seq long, outcome string"))
+
+
+_ROUTED = f"SELECT seq, {_crc32c_sql('path')} % 2 AS part FROM ({_EV})"
+
+
+@query(f"""SELECT part, seq, CASE WHEN part = 0 AND k = 1 THEN 'retry, dead' WHEN part = 0 THEN 'acked' ELSE 'given back' END AS outcome
+FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq) AS k FROM ({_ROUTED})) WHERE k <= 3 AND part = 0 OR k <= 2 AND part = 1""")
+def group_run(spark, d):
+    """Two members of a group: one acknowledges out of order beside an entry that dies, the other leaves and its entries go to the first."""
+    j = Journal(spark, workspace(spark, "journal"), 2)
+    j.append(_events(spark, d).select("seq", "path", "payload"), 0, "seq")
+    g, out = Group(j, "readers", policy=GroupPolicy(max_attempts=2)), []
+    g.join("a", 0)
+    generation = g.join("b", 0)
+    (_, first, _), (_, second, _), (_, third, _) = g.consume("a", 3, 0)
+    theirs = g.consume("b", 2, 0)
+    out += [(0, third, g.ack("a", generation, 0, third)), (0, second, g.ack("a", generation, 0, second))]
+    states = [g.fail("a", generation, 0, first, 0)]
+    g.consume("a", 1, 5)
+    states.append(g.fail("a", generation, 0, first, 10))
+    out.append((0, first, ", ".join(states)))
+    assert g.offset(0) == third
+    g.leave("b")
+    back = g.consume("a", 2, 20)
+    out += [(p, s, "given back") for p, s, _ in back if (p, s) in {(p, s) for p, s, _ in theirs}]
+    return spark.createDataFrame(out, "part long, seq long, outcome string")
+
+
+@query("SELECT * FROM (VALUES ('same plan, same fingerprint', true), ('another plan, another fingerprint', true), ('explain shows the scan', true)) v(rule, holds)")
+def session_plans(spark, d):
+    db = _session(spark, d, "orders")
+    one, two, other = (db.sql(f"SELECT o_orderkey FROM orders WHERE o_custkey = {k}") for k in (1, 1, 2))
+    holds = [
+        ("same plan, same fingerprint", db.fingerprint(one) == db.fingerprint(two)), ("another plan, another fingerprint", db.fingerprint(one) != db.fingerprint(other)),
+        ("explain shows the scan", "parquet" in db.explain(one)),
+    ]
+    return spark.createDataFrame(holds, "rule string, holds boolean")

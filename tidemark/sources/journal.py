@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.crc32c import partition_of
+from tidemark.functions.crc32c import crc32c, partition_of
 from tidemark.functions.semantics import within
 from tidemark.operators import journal as J
 from tidemark.operators import overlay as O
@@ -202,8 +202,12 @@ class Journal:
     def _one(self, path: str, payload: str | None, operation: str, now: int, kind: str, scope: str | None) -> int:
         if scope is not None and not (path == scope.rstrip("/") or path.startswith(scope.rstrip("/") + "/")):
             raise OutsideScope(path)
-        one = self.spark.createDataFrame([(path, payload, operation, kind)], "path string, payload string, operation string, kind string")
-        return self.append(one, now).first().seq
+        part, folder, event = int(crc32c([path.encode()])[0]) % self.partitions, uuid.uuid4().hex, uuid.uuid4()
+        target = {"id": f"{folder}/{part}", "part": part, "low": 0, "high": 0, "n": 1, "bytes": len(path) + len(payload or "")}
+        row = (0, str(event), now, path, kind, operation, payload, None, None)
+        self.spark.createDataFrame([row], _FILE).coalesce(1).write.parquet(self._path(target))  # one event: nothing to number or to route
+        self._add({"op": "append", "n": 1, "segments": [target], "source": None})
+        return next(x["first"] for x in self.state()["segments"] if x["id"] == target["id"])
 
     def _layers(self, upto: int | None = None) -> DataFrame:
         """(path, operation, payload, seq) of what concerns paths: the published snapshot and the events after it."""
