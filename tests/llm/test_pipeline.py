@@ -65,7 +65,9 @@ def words(n):
 
 def stage(spark, name, rows, tmp_path):
     """What a stage makes of (doc_id, text) rows beside columns of clashing names; these must come back as they were."""
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("*", *[c.strip() for c in CLASH[2:].split(", ")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr(
+        "*", *[c.strip() for c in CLASH[2:].split(", ")],
+    )
     dict(corpus_pipeline.STAGES)[name](spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
     out = spark.read.parquet(f"{tmp_path}/{name}")
     assert out.columns == docs.columns
@@ -88,7 +90,10 @@ def test_near_duplicate_stage(spark, tmp_path):
 def test_passage_stage(spark, tmp_path):
     shared, own = words(60), [words(40) for _ in range(6)]
     twice = words(50)
-    rows = [(1, own[0] + shared + own[1]), (2, own[2] + shared[:34] + own[3]), (None, own[4] + shared), (4, own[5]), (4, own[5][:34]), (5, twice), (5, twice)]
+    rows = [
+        (1, own[0] + shared + own[1]), (2, own[2] + shared[:34] + own[3]), (None, own[4] + shared), (4, own[5]), (4, own[5][:34]),
+        (5, twice), (5, twice),
+    ]
     want = [(1, own[0] + own[1]), (2, own[2] + shared[:34] + own[3]), (None, own[4]), (4, own[5]), (4, own[5][:34]), (5, []), (5, [])]
     text = lambda rs: [(i, " ".join(w)) for i, w in rs]
     assert stage(spark, "repeated_passages", text(rows) + LOOSE, tmp_path) == sorted(text(want) + LOOSE, key=repr)

@@ -41,7 +41,16 @@ def expand(conversations: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"], role=True), F.lit(AFTER_ROLE))
-    written = whole.select("conv_id", F.transform("turns", lambda t: F.struct(F.concat(head(t), escape(t["text"]), F.lit(CLOSE)).alias("s"), F.length(head(t)).alias("head"), F.length(escape(t["text"])).alias("n"), (t["role"] == "assistant").alias("reply"))).alias("w"))
+    written = whole.select(
+        "conv_id",
+        F.transform(
+            "turns",
+            lambda t: F.struct(
+                F.concat(head(t), escape(t["text"]), F.lit(CLOSE)).alias("s"), F.length(head(t)).alias("head"),
+                F.length(escape(t["text"])).alias("n"), (t["role"] == "assistant").alias("reply"),
+            ),
+        ).alias("w"),
+    )
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i)["reply"] | (i == F.size("w") - 1))
     each = written.select("conv_id", "w", F.explode(at).alias("example"))
     last = F.get("w", F.col("example"))
@@ -57,9 +66,15 @@ def read_back(examples: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text, formatted_chars): the turns and the trained text of each conversation, out of its examples."""
     reply = unescape(F.expr("substring(formatted, cast(loss_start + 1 as int), cast(loss_chars as int))"))
     own = examples.select("conv_id", "example", "formatted", reply.alias("reply"))
-    joined = own.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("all"), F.array_sort(F.collect_list(F.struct("example", "reply"))).alias("replies"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
+    joined = own.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("all"), F.array_sort(F.collect_list(F.struct("example", "reply"))).alias("replies"),
+        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
+    )
     parts = F.filter(F.split("all", CLOSE), lambda s: s != "")
     role = lambda s: F.substring_index(F.substr(s, F.lit(len(OPEN) + 1)), ":", 1)
     text = lambda s: F.substr(s, F.length(role(s)) + len(OPEN) + len(AFTER_ROLE) + 1)
     turns = F.transform(parts, lambda s: F.struct(unescape(role(s), role=True).alias("role"), unescape(text(s)).alias("text")))
-    return joined.select("conv_id", turns.alias("turns"), F.array_join(F.transform("replies", lambda r: r["reply"]), "").alias("loss_text"), "formatted_chars")
+    return joined.select(
+        "conv_id", turns.alias("turns"), F.array_join(F.transform("replies", lambda r: r["reply"]), "").alias("loss_text"),
+        "formatted_chars",
+    )

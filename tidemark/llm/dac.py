@@ -94,13 +94,20 @@ class DacFile:
 
 def file_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     levels = pack_levels(ids)
-    head = json.dumps({"n_docs": len(doc_ids), "n_tokens": len(ids), "chunk_bits": 8, "block": BLOCK, "levels": [len(x[0]) for x in levels]}).encode()
+    head = json.dumps(
+        {"n_docs": len(doc_ids), "n_tokens": len(ids), "chunk_bits": 8, "block": BLOCK, "levels": [len(x[0]) for x in levels]}
+    ).encode()
     starts = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))]).astype("<i8")
-    parts = [MAGIC, len(head).to_bytes(4, "little"), head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), starts.tobytes()]
+    parts = [
+        MAGIC, len(head).to_bytes(4, "little"), head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
+        np.array([d is None for d in doc_ids], "u1").tobytes(), starts.tobytes(),
+    ]
     return b"".join(parts + [x.tobytes() for level in levels for x in level])
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, scratch: Scratch, end_id: int = 2, tokens_per_file: int = 4_000_000) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, path: str, vocabulary: str, scratch: Scratch, end_id: int = 2, tokens_per_file: int = 4_000_000,
+) -> DataFrame:
     """Writes ``docs`` (doc_id, text) as ``*.dac`` files in ascending doc_id order; returns the manifest (file_no, n_docs, n_tokens, base).
 
     One range shuffle of the texts orders them; each task then encodes its range
@@ -154,21 +161,30 @@ def read_documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file_no", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+        schema = pa.schema(
+            [("file_no", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+        )
         for batch in batches:
             for name, data in rows(batch, "path", "content"):
                 f = DacFile(data)
                 n = f.head["n_tokens"]
-                ids = np.concatenate([f.at(np.arange(i, min(n, i + 1_000_000))) for i in range(0, n, 1_000_000)] or [np.empty(0, np.uint32)]).astype("<u4")
+                ids = np.concatenate(
+                    [f.at(np.arange(i, min(n, i + 1_000_000))) for i in range(0, n, 1_000_000)] or [np.empty(0, np.uint32)]
+                ).astype("<u4")
                 s = f.starts
                 crc = [zlib.crc32(ids[s[i] : s[i + 1]].tobytes()) for i in range(len(s) - 1)]
                 doc_ids = pa.array(f.doc_ids, pa.int64(), mask=f.nulls.astype(bool))
                 no = int(name.rsplit("/", 1)[1].split(".")[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(crc), no)), doc_ids, pa.array(s[:-1]), pa.array(np.diff(s)), pa.array(crc, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(crc), no)), doc_ids, pa.array(s[:-1]), pa.array(np.diff(s)), pa.array(crc, pa.int64())],
+                    schema=schema,
+                )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(path).select("path", "content")
     found = files.mapInArrow(lean(read), "file_no long, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return found.join(manifest.select("file_no", "base"), "file_no").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(manifest.select("file_no", "base"), "file_no").select(
+        "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32",
+    )
 
 
 def tokenize_to_files(spark: SparkSession, docs: DataFrame, vocabulary: str) -> tuple[str, DataFrame]:

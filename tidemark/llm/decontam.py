@@ -71,7 +71,13 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
             listing = b"".join([*(x.tobytes() for x in own), *digests])
             lists = [listing] + [np.diff(order[a:b], prepend=0).astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)]
             counts = [len(doc_ids)] + [int(b - a) for a, b in zip(first, ends, strict=True)]
-            out = pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), part * 1_000_000 + k)), pa.array(heads, pa.binary()), pa.array(counts, pa.int64()), pa.array(lists, pa.binary())], names=["shard", "term", "n", "positions"])
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(heads), part * 1_000_000 + k)), pa.array(heads, pa.binary()), pa.array(counts, pa.int64()),
+                    pa.array(lists, pa.binary()),
+                ],
+                names=["shard", "term", "n", "positions"],
+            )
             doc_ids, digests, lengths, held, n, k = [], [], [], [], 0, k + 1
             if wanted is None:
                 local = {}
@@ -95,7 +101,9 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFr
         if doc_ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest_of("text").alias("digest")).mapInArrow(lean(build), INDEX)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", digest_of("text").alias("digest"),
+    ).mapInArrow(lean(build), INDEX)
 
 
 def windows(items: list[tuple[str, list[bytes]]], size: int) -> dict[tuple[bytes, ...], list[str]]:
@@ -156,7 +164,9 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
             yield b.filter(pa.array([t in known.value or t == _DOCS for t in b.column(1).to_pylist()], pa.bool_()))
 
     index = index.mapInArrow(lean(asked), INDEX)
-    total = {bytes(r[0]): r[1] for r in index.where(F.length("term") > 0).groupBy("term").agg(F.sum("n")).collect()}  # at most a row for each query term
+    total = {
+        bytes(r[0]): r[1] for r in index.where(F.length("term") > 0).groupBy("term").agg(F.sum("n")).collect()
+    }  # at most a row for each query term
     numbers = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (total.get(t, 0), t)))}  # the rarest first
     found = [(w, items) for w, items in queries.items() if all(total.get(t) for t in w)]
     close = [(w, items) for w, items in queries.items() if all(total.get(t) for t in sorted(set(w), key=numbers.get)[:near_terms])]
@@ -170,7 +180,9 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
             terms[i, : len(order)], offsets[i, : len(order)] = [numbers[w[j]] for j in order], order
         return terms, offsets
 
-    sent = spark.sparkContext.broadcast((numbers, [x for _, x in found], [len(w) for w, _ in found], plan(found, width), [x for _, x in close], plan(close, near_terms)))
+    sent = spark.sparkContext.broadcast(
+        (numbers, [x for _, x in found], [len(w) for w, _ in found], plan(found, width), [x for _, x in close], plan(close, near_terms))
+    )
 
     def look(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         numbers, items, sizes, (terms, offsets), near_items, (near_t, near_o) = sent.value
@@ -219,7 +231,9 @@ def search(index: DataFrame, queries: dict[tuple[bytes, ...], list[str]], slop:
     return index.groupBy("shard").applyInPandas(look, FOUND)
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 3, scratch: Scratch | None = None) -> DataFrame:
+def matches(
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 3, scratch: Scratch | None = None,
+) -> DataFrame:
     """Contamination of every row of ``docs`` (doc_id, text) by ``benchmark`` (item_id, text).
 
     Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, near, digest); digest is
@@ -246,12 +260,17 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
         for b in blocks[1:]:
             found = found.unionByName(search(index, read(b), slop))
         one = [F.first(c).alias(c) for c in ("doc_id", "digest", "n_words")]
-        found = found.groupBy("shard", "ordinal").agg(*one, F.collect_list("spans").alias("many"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")))
+        found = found.groupBy("shard", "ordinal").agg(
+            *one, F.collect_list("spans").alias("many"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")),
+        )
         joined = F.expr("aggregate(many, cast('' as binary), (a, x) -> concat(a, x))").alias("spans")
         found = found.select("doc_id", "digest", "n_words", joined, "items", "near")
 
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "near", "digest"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string()), pa.binary()]
+    kinds = [
+        pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string()),
+        pa.binary(),
+    ]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +281,10 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
                 np.add.at(edge, pairs[:, 0], 1)
                 np.add.at(edge, pairs[:, 1], -1)
                 hit = int((np.cumsum(edge)[:n] > 0).sum())
-                own = (doc_id, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, items, spans, sorted(set(near)), digest)
+                own = (
+                    doc_id, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, items, spans,
+                    sorted(set(near)), digest,
+                )
                 for c, v in zip(out, own, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)

@@ -115,14 +115,19 @@ def near_blocks(meta: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
     apart = lambda x, y: F.zip_with(x, y, lambda u, v: u - v)
     gaps = F.zip_with(apart("lo_a", "hi_b"), apart("lo_b", "hi_a"), lambda u, v: F.greatest(u, v, F.lit(0.0)))
     for level in range(len(levels) - 2, -1, -1):
-        part = lambda s: levels[level].select("label", "n", F.shiftright("id", FAN).alias(s), F.col("id").alias(f"id_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))  # noqa: B023, E731
+        part = lambda s: levels[level].select(
+            "label", "n", F.shiftright("id", FAN).alias(s), F.col("id").alias(f"id_{s}"), F.col("lo").alias(f"lo_{s}"),
+            F.col("hi").alias(f"hi_{s}"),
+        )  # noqa: B023, E731
         split = pairs.join(part("a"), ["label", "n", "a"]).join(part("b"), ["label", "n", "b"])
         close = split.where("id_a <= id_b").where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps)
         pairs = scratch.save(close.select("label", "n", F.col("id_a").alias("a"), F.col("id_b").alias("b")), f"pairs{level}")
     return pairs.where("a < b").select("a", "b")
 
 
-def join_blocks(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, cosine: float, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def join_blocks(
+    xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, cosine: float, eps: float, same: bool,
+) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of a, j of b) with cosine of at least ``cosine``; i < j within one block."""
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -190,7 +195,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
     scratch = scratch or Scratch(spark, "ego")
     eps = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
     emb = F.transform("embedding", lambda v: v.cast("double"))
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), emb.alias("embedding"), F.col("label").cast("string").alias("label"))
+    base = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), emb.alias("embedding"), F.col("label").cast("string").alias("label"),
+    )
     base = base.select("*", *(F.xxhash64(F.lit(i), "embedding").alias(f"h{i}") for i in (1, 2)))
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0)
@@ -221,11 +228,15 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
     kind = "rep long, n long, low long"
     across = near.join(load("a"), "a").join(load("b"), "b").drop("a", "b").mapInArrow(lean(join), kind)
     found = scratch.save(blocks.select(*held).mapInArrow(lean(join_own), kind).unionByName(across), "found")
-    comp = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")), scratch).withColumnsRenamed({"id": "rep", "component": "comp"})
+    comp = components(
+        found.select(F.col("rep").alias("a"), F.col("low").alias("b")), scratch,
+    ).withColumnsRenamed({"id": "rep", "component": "comp"})
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     links = (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")
     per = groups.select("rep", "mult", *key).join(counts, "rep", "left").join(comp, "rep", "left")
     per = scratch.save(per.select(*key, "rep", links, F.coalesce("comp", "rep").alias("component_id")), "links")
     linked = base.select("vec_id", *key).join(per, key, "left")
-    out = linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = linked.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+    )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -216,7 +216,9 @@ def repeated(index: FMIndex, pieces: list[np.ndarray], window: int) -> tuple[np.
         r = right == 1
         whole, part = r & (got <= hi), r & (got > hi) & (hi > lo)
         found.append(np.stack([who[whole], np.maximum(got, lo)[whole], hi[whole]]))
-        nxt = [np.stack([who, lo, got - 1, np.ones_like(lo)])[:, whole & (got > lo)], np.stack([who, lo, hi - 1, np.zeros_like(lo)])[:, part]]
+        nxt = [
+            np.stack([who, lo, got - 1, np.ones_like(lo)])[:, whole & (got > lo)], np.stack([who, lo, hi - 1, np.zeros_like(lo)])[:, part],
+        ]
         hit, miss = ~r & (got <= lo), ~r & (got > lo)
         found.append(np.stack([who[hit], lo[hit], lo[hit]]))
         nxt.append(np.stack([who, got, hi, np.zeros_like(lo)])[:, miss & (got <= hi)])
@@ -238,7 +240,12 @@ def _shard(key: tuple, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
         streamed.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in w), np.int64, len(w)))
     again = [p for p, n in zip(streamed, pdf["copies"], strict=True) if n > 1]
     piece, lo, hi = repeated(FMIndex(streamed + again, len(numbers)), streamed, window)
-    return pd.DataFrame({"mini": pdf["mini"].to_numpy()[piece], "seg": pdf["seg"].to_numpy()[piece], "alone": pdf["alone"].to_numpy()[piece], "lo": lo, "hi": hi})
+    return pd.DataFrame(
+        {
+            "mini": pdf["mini"].to_numpy()[piece], "seg": pdf["seg"].to_numpy()[piece], "alone": pdf["alone"].to_numpy()[piece], "lo": lo,
+            "hi": hi,
+        }
+    )
 
 
 def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
@@ -262,10 +269,15 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
             out: list[list] = [[] for _ in range(6)]
             for d, th, text in rows(batch, "d", "th", "text"):
                 mini, seg, first, count = segments(word_hash().of(words(text)), window)
-                for column, v in zip(out, (mini.view(np.int64), seg.view(np.int64), np.full(len(mini), d), np.full(len(mini), th), first, count), strict=True):
+                for column, v in zip(
+                    out, (mini.view(np.int64), seg.view(np.int64), np.full(len(mini), d), np.full(len(mini), th), first, count),
+                    strict=True,
+                ):
                     column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["mini", "seg", "d", "th", "first", "count"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["mini", "seg", "d", "th", "first", "count"],
+                )
 
     kind = "mini long, seg long, d long, th long, first long, count long"
     places = scratch.save(keyed.select("d", "th", "text").where("text is not null").mapInArrow(lean(cut), kind), "all")
@@ -273,9 +285,16 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
     shared = scratch.save(places.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini"), "shared")
     places = scratch.save(places.join(shared, "mini", "left_semi"), "places")
     scratch.drop("all", "shared")
-    segs = scratch.save(places.groupBy("mini", "seg").agg(F.min(F.struct("d", "th", "first", "count")).alias("r"), F.least(F.count(F.lit(1)), F.lit(2)).alias("copies")), "segs")
+    segs = scratch.save(
+        places.groupBy("mini", "seg").agg(
+            F.min(F.struct("d", "th", "first", "count")).alias("r"), F.least(F.count(F.lit(1)), F.lit(2)).alias("copies"),
+        ),
+        "segs",
+    )
     hot = segs.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini", F.lit(True).alias("hot"))
-    wanted = segs.join(hot, "mini", "left").select("r.d", "r.th", F.struct("mini", "seg", "r.first", "r.count", "copies", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s")).groupBy("d", "th").agg(F.collect_list("s").alias("segs"))
+    wanted = segs.join(hot, "mini", "left").select(
+        "r.d", "r.th", F.struct("mini", "seg", "r.first", "r.count", "copies", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"),
+    ).groupBy("d", "th").agg(F.collect_list("s").alias("segs"))
 
     low = (1 << LOW_BITS) - 1
 
@@ -297,17 +316,31 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
                             h = xxhash.xxh3_128_intdigest(t)
                             out.append((s["mini"], s["seg"], j, (h & low) - (1 << 63), (h >> 64) - (1 << 63), s["copies"], t))
                 cols = list(zip(*out, strict=True)) if out else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names=["mini", "seg", "j", "win", "win2", "copies", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(cols)],
+                    names=["mini", "seg", "j", "win", "win2", "copies", "text"],
+                )
 
     texts = keyed.select("d", "th", "text").join(wanted, ["d", "th"])
-    cutout = scratch.save(texts.mapInArrow(lean(slices), "mini long, seg long, j long, win long, win2 long, copies long, text binary"), "slices")
+    cutout = scratch.save(
+        texts.mapInArrow(lean(slices), "mini long, seg long, j long, win long, win2 long, copies long, text binary"), "slices",
+    )
     plain = cutout.where("j < 0").select("mini", "seg", "text", "copies", F.lit(0).cast("long").alias("alone"))
-    split = cutout.where("j >= 0").groupBy("win", "win2").agg(F.first("text").alias("text"), F.least(F.sum("copies"), F.lit(2)).alias("copies")).select(F.col("win").alias("mini"), F.col("win2").alias("seg"), "text", "copies", F.lit(1).cast("long").alias("alone"))
+    split = cutout.where("j >= 0").groupBy("win", "win2").agg(F.first("text").alias("text"), F.least(F.sum("copies"), F.lit(2)).alias("copies")).select(
+        F.col("win").alias("mini"), F.col("win2").alias("seg"), "text", "copies", F.lit(1).cast("long").alias("alone"),
+    )
     size = cutout.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_shards = int(size // (SHARD_WORDS * 7)) + 1
     dealt = plain.unionByName(split).withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(n_shards)))
-    hits = scratch.save(dealt.groupBy("shard").applyInPandas(lambda key, pdf: _shard(key, pdf, window), "mini long, seg long, alone long, lo long, hi long"), "hits")
-    of_windows = hits.where("alone = 1").select(F.col("mini").alias("win"), F.col("seg").alias("win2")).distinct().join(cutout.where("j >= 0").select("win", "win2", "mini", "seg", "j"), ["win", "win2"]).select("mini", "seg", F.col("j").alias("lo"), F.col("j").alias("hi"))
+    hits = scratch.save(
+        dealt.groupBy("shard").applyInPandas(
+            lambda key, pdf: _shard(key, pdf, window), "mini long, seg long, alone long, lo long, hi long",
+        ),
+        "hits",
+    )
+    of_windows = hits.where("alone = 1").select(F.col("mini").alias("win"), F.col("seg").alias("win2")).distinct().join(
+        cutout.where("j >= 0").select("win", "win2", "mini", "seg", "j"), ["win", "win2"],
+    ).select("mini", "seg", F.col("j").alias("lo"), F.col("j").alias("hi"))
     runs_of = hits.where("alone = 0").drop("alone").unionByName(of_windows).groupBy("mini", "seg").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     spans = scratch.save(runs_of, "spans")  # written, so that a frequent segment can be split at the join
     moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("a"), (F.col("first") + r["hi"] + window).alias("b")))
@@ -332,12 +365,22 @@ def passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, scratch
                 gone = np.cumsum(gone)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g] if runs else w)
-                out.append((len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edge.astype("<i4").tobytes(), kept.decode("utf-8", "surrogatepass")))
+                out.append(
+                    (
+                        len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edge.astype("<i4").tobytes(),
+                        kept.decode("utf-8", "surrogatepass"),
+                    )
+                )
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in left), *new], names=[*left, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*ticked).schema.fields), "n_words long, n_removed long, kept_sha256 string, spans binary, kept string"])
+    schema = ", ".join(
+        [
+            *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*ticked).schema.fields),
+            "n_words long, n_removed long, kept_sha256 string, spans binary, kept string",
+        ]
+    )
     own = docs.select(*ticked, key[0].alias("__d"), key[1].alias("__th"))
     runs = per.withColumnsRenamed({"d": "__d", "th": "__th", "runs": "__runs"})
     return own.join(runs, ["__d", "__th"], "left").mapInArrow(lean(keep), schema)

@@ -28,7 +28,9 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        small = joined.where("b <> m").select(
+            F.col("b").alias("a"), F.col("m").alias("b"),
+        ).union(least.select("a", F.col("m").alias("b"))).distinct()
         k += 1
         pairs = scratch.save(small, f"{label}{k}")
         scratch.drop(f"{label}{k - 1}")

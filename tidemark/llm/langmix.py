@@ -30,7 +30,9 @@ def grams(text: str) -> np.ndarray:
     table = worker_cache("letters", _letters)
     c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     wide = c >= 1 << 16
-    c = table[np.where(wide, 32, c)] if not wide.any() else np.where(wide, [ord("￿") if chr(x).isalpha() else 32 for x in c], table[np.where(wide, 32, c)]).astype(np.uint32)
+    c = table[np.where(wide, 32, c)] if not wide.any() else np.where(
+        wide, [ord("￿") if chr(x).isalpha() else 32 for x in c], table[np.where(wide, 32, c)],
+    ).astype(np.uint32)
     h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -54,7 +56,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 sums[lang] = sums[lang] + n if lang in sums else n
         for lang, v in sums.items():
             at = np.nonzero(v)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at])], names=["lang", "bucket", "n"],
+            )
 
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     got = known.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -100,7 +104,9 @@ def identify(p: np.ndarray, bag: np.ndarray, penalty: float = 4.0) -> tuple[list
     return [int(chosen[i]) for i in best], full[chosen[best]]
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def predict(
+    spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, carry: tuple[str, ...] = (),
+) -> DataFrame:
     """(doc_id, lang_pred, score, langs, shares) for each row of ``docs`` (doc_id, text); no shuffle.
 
     Null text, a text without letters and an empty model give ``und`` with score 0; ties go to the first
@@ -122,6 +128,15 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
                 chosen, w = identify(p, bag, penalty)
                 out.append((langs[chosen[0]], min(1.0, float(w[0])), [langs[i] for i in chosen], [float(x) for x in w]))
             a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(extra))), pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.list_(pa.string())), pa.array(d, pa.list_(pa.float64()))], names=["doc_id", *extra, "lang_pred", "score", "langs", "shares"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(lean(guess), "doc_id long, " + "".join(f"{c} boolean, " for c in extra) + "lang_pred string, score double, langs array<string>, shares array<double>")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), *(batch.column(2 + i) for i in range(len(extra))), pa.array(a, pa.string()), pa.array(b, pa.float64()),
+                    pa.array(c, pa.list_(pa.string())), pa.array(d, pa.list_(pa.float64())),
+                ],
+                names=["doc_id", *extra, "lang_pred", "score", "langs", "shares"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(
+        lean(guess),
+        "doc_id long, " + "".join(f"{c} boolean, " for c in extra) + "lang_pred string, score double, langs array<string>, shares array<double>",
+    )

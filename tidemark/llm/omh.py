@@ -103,7 +103,9 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             for (text,) in rows(batch, "text"):
                 h = labelled(text)
                 keys.append(sketches(h).view(np.int64) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"],
+            )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest"), "text")
     return own.where("doc_id is not null and text is not null").mapInArrow(lean(run), "doc_id long, digest binary, keys array<long>")
@@ -128,7 +130,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             new = [pa.array(c, pa.bool_() if i == 3 else pa.int64()) for i, c in enumerate(out)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["a", "b", "d", "n_a", "n_b", "ok"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long, d long, n_a long, n_b long, ok boolean")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(
+        lean(run), "a long, b long, d long, n_a long, n_b long, ok boolean",
+    )
 
 
 def overlaps(hs: list[np.ndarray]) -> np.ndarray:
@@ -229,18 +233,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     wanted = level.select("doc_id").distinct()
     keys = scratch.save(table.select("doc_id", "keys").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "keys")
     scratch.drop("level0", "sketches")
-    texts = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(keys.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = scratch.save(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), "text",
+        ).where("text is not null").join(keys.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+        "texts",
+    )
     share = (1 - least) / (1 + least)
     pairs = level.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     done = scratch.save(_verify(pairs, texts, least), "pairs")
     found = components(done.where("ok"), scratch, "cc1_")
     # What goes on: all outside the pivot's class, and of its class what may link with those
-    own = level.where("doc_id <> pivot").drop("n").join(found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
-    own = own.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d", F.col("n_b").alias("n"), "ok"), ["pivot", "doc_id"], "left")
-    own = own.select("doc_id", "bucket", F.coalesce("c", "doc_id").alias("cls"), (F.coalesce("c", "doc_id") != F.coalesce("pc", "pivot")).alias("outside"), "d", "n", "ok")
+    own = level.where("doc_id <> pivot").drop("n").join(
+        found.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left",
+    ).join(found.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
+    own = own.join(
+        done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d", F.col("n_b").alias("n"), "ok"), ["pivot", "doc_id"], "left",
+    )
+    own = own.select(
+        "doc_id", "bucket", F.coalesce("c", "doc_id").alias("cls"),
+        (F.coalesce("c", "doc_id") != F.coalesce("pc", "pivot")).alias("outside"), "d", "n", "ok",
+    )
     inner = own.where("outside").groupBy("bucket").agg(F.min(F.col("d") - share * F.col("n")).alias("edge"))
     # d is exact where the pair links; elsewhere it is a lower bound, which rules out nothing inside the pivot's class
-    rest = own.join(inner, "bucket").where(F.expr("outside or not coalesce(ok, false)") | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6))
+    rest = own.join(inner, "bucket").where(
+        F.expr("outside or not coalesce(ok, false)") | (F.col("d") + share * F.col("n") >= F.col("edge") - 1e-6)
+    )
     rest = scratch.save(rest.select("doc_id", "bucket", "cls"), "rest")
     scratch.drop("level1")
     mark = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
@@ -249,13 +267,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = SIMILAR
     full = full.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = rest.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "cls", "block")
+    dealt = dealt.select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "cls", "block",
+    )
     more = scratch.save(_finish(dealt, texts, least), "more")
     scratch.drop("rest")
     if more.limit(1).count():
         found = components(done.where("ok").select("a", "b").unionByName(more), scratch, "cc2_")
-    classes = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "digest", F.coalesce("component", "rep").alias("class_id"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest")).join(classes, ["doc_id", "digest"], "left")
+    classes = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        "doc_id", "digest", F.coalesce("component", "rep").alias("class_id"),
+    )
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), digest_of("text").alias("digest"),
+    ).join(classes, ["doc_id", "digest"], "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "digest")
     scratch.drop("texts", "keys")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

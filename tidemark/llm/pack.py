@@ -65,7 +65,9 @@ def cells(means: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.minimum((squashed * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024, scratch: Scratch | None = None) -> DataFrame:
+def pack(
+    spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024, scratch: Scratch | None = None,
+) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) for each piece of ``docs`` (doc_id, text).
 
     Each text is encoded once and written with its key; the written ids are
@@ -92,14 +94,23 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0,
                     blobs.append(blob)
                     means.append(r[ids].mean(axis=0, dtype=np.float64))
                 keys = hilbert(cells(np.array(means)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(keys), pa.array([len(b) // enc.dtype.itemsize for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "key", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_ids, pa.int64()), pa.array(keys), pa.array([len(b) // enc.dtype.itemsize for b in blobs], pa.int64()),
+                        pa.array(blobs, pa.binary()),
+                    ],
+                    names=["doc_id", "key", "doc_tokens", "ids"],
+                )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for batch in batches:
             n = batch.column(batch.schema.get_field_index("doc_tokens")).to_numpy()
             ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "doc_tokens", "ids", "part")), pa.array(ends - n)], names=["doc_id", "doc_tokens", "ids", "part", "local"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "doc_tokens", "ids", "part")), pa.array(ends - n)],
+                names=["doc_id", "doc_tokens", "ids", "part", "local"],
+            )
             at = int(ends[-1]) if len(ends) else at
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +123,36 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0,
                     seq, off = divmod(at + start, length)
                     k = min(length - off, n - start)
                     piece = ids[start : start + k]
-                    for column, v in zip(out, (doc_id, start, k, zlib.crc32(piece.astype("<u4").tobytes()), n, seq, off, piece.tobytes()), strict=True):
+                    for column, v in zip(
+                        out, (doc_id, start, k, zlib.crc32(piece.astype("<u4").tobytes()), n, seq, off, piece.tobytes()), strict=True,
+                    ):
                         column.append(v)
                     start += k
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    coded = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encode), "doc_id long, key long, doc_tokens long, ids binary"), "coded")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(out)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
+
+    coded = scratch.save(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+            lean(encode), "doc_id long, key long, doc_tokens long, ids binary",
+        ),
+        "coded",
+    )
     size = coded.agg(F.sum("doc_tokens")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, 4 * size // SORT_BYTES + 1)
-    ordered = coded.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn("part", F.spark_partition_id())
+    ordered = coded.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn(
+        "part", F.spark_partition_id(),
+    )
     placed = scratch.save(ordered.mapInArrow(lean(place), "doc_id long, doc_tokens long, ids binary, part int, local long"), "placed")
     scratch.drop("coded")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy("part").agg(F.sum("doc_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    located = placed.join(F.broadcast(bases), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("at"))  # bases: a row for each partition
-    return located.mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    bases = placed.groupBy("part").agg(F.sum("doc_tokens").alias("total")).select(
+        "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"),
+    )
+    located = placed.join(F.broadcast(bases), "part").select(
+        "doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("at"),
+    )  # bases: a row for each partition
+    return located.mapInArrow(
+        lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
+    )

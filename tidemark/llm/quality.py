@@ -57,7 +57,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t).tobytes() for (t,) in rows(b, "text")], pa.binary())], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([statistics(t).tobytes() for (t,) in rows(b, "text")], pa.binary())], names=["doc_id", "stats"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, stats binary")
 
@@ -101,10 +103,15 @@ def _summed(df: DataFrame, compute, size: int) -> np.ndarray:
                 x = compute(b)
                 total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array([r.astype("<f8").tobytes() for r in total], pa.binary())], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(size), pa.int32()), pa.array([r.astype("<f8").tobytes() for r in total], pa.binary())],
+                names=["i", "v"],
+            )
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "v": [np.sum([np.frombuffer(bytes(v), "<f8") for v in pdf["v"]], axis=0).astype("<f8").tobytes()]})
+        return pd.DataFrame(
+            {"i": [key[0]], "v": [np.sum([np.frombuffer(bytes(v), "<f8") for v in pdf["v"]], axis=0).astype("<f8").tobytes()]}
+        )
 
     got = df.mapInArrow(lean(part), "i int, v binary").groupBy("i").applyInPandas(add, "i int, v binary").collect()
     return np.array([np.frombuffer(bytes(r[1]), "<f8") for r in sorted(got)]) if got else np.zeros((0, 0))
@@ -138,7 +145,9 @@ def fit(train: DataFrame, seed: int = 7) -> Model:
     No rows give a model that answers 0.5; rows of one label give one that answers that label's value.
     """
     rng = np.random.default_rng(seed)
-    model = Model(np.zeros(WIDTH), np.ones(WIDTH), rng.normal(size=(WIDTH, FEATURES)) * np.sqrt(2 * GAMMA), rng.uniform(0, 2 * np.pi, FEATURES))
+    model = Model(
+        np.zeros(WIDTH), np.ones(WIDTH), rng.normal(size=(WIDTH, FEATURES)) * np.sqrt(2 * GAMMA), rng.uniform(0, 2 * np.pi, FEATURES),
+    )
     y_of = lambda b: np.array(b.column(b.schema.get_field_index("label")).to_pylist(), np.float64)
 
     def moments(b: pa.RecordBatch) -> np.ndarray:
@@ -179,7 +188,10 @@ def fit(train: DataFrame, seed: int = 7) -> Model:
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """(stats, label) of documents with a quality label; a document with several labels counts once for each."""
-    return stats.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)"), "doc_id").select("stats", "label")
+    return stats.join(
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)"),
+        "doc_id",
+    ).select("stats", "label")
 
 
 def score(spark: SparkSession, stats: DataFrame, model: Model) -> DataFrame:
@@ -190,7 +202,10 @@ def score(spark: SparkSession, stats: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = sent.value.score(_stack(b)) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(s, pa.float64())], names=[*(f.name for f in kept), "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(s, pa.float64())],
+                names=[*(f.name for f in kept), "score"],
+            )
 
     return stats.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"]))
 

@@ -19,11 +19,15 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm.passages(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return fm.passages(
+        spark, table(spark, sf_dir, "documents").select("doc_id", "text"),
+    ).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)),
+    )
     return langmix.predict(spark, docs, langmix.train(docs.where("not held_out")), carry=("held_out",))
 
 
@@ -34,7 +38,10 @@ def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chat.read_back(chat.expand(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), digest(F.col("loss_text")).alias("loss_sha256"), "formatted_chars")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), digest(F.col("loss_text")).alias("loss_sha256"), "formatted_chars",
+    )
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +71,12 @@ def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_fm_substrings, op3_language_mixture, op4_chat_prefixes, op5_quality, op6_license_rules, op7_epsilon_grid, op8_decontamination, op9_hilbert_packing, op10_dac_tokens)}
+    return {
+        f.__name__: f for f in (
+            op1_order_minhash, op2_fm_substrings, op3_language_mixture, op4_chat_prefixes, op5_quality, op6_license_rules, op7_epsilon_grid,
+            op8_decontamination, op9_hilbert_packing, op10_dac_tokens,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
