@@ -30,7 +30,9 @@ def test_integers(spark, f, a, b, want):
     assert one(spark, f(F.lit(None).cast("long"), F.lit(b))) is None
 
 
-@pytest.mark.parametrize("a,b,want", [(1.0, 0.0, math.inf), (-1.0, 0.0, -math.inf), (1.0, -0.0, -math.inf), (0.0, 0.0, None), (3.0, 2.0, 1.5)])
+@pytest.mark.parametrize(
+    "a,b,want", [(1.0, 0.0, math.inf), (-1.0, 0.0, -math.inf), (1.0, -0.0, -math.inf), (0.0, 0.0, None), (3.0, 2.0, 1.5)],
+)
 def test_ieee_division(spark, a, b, want):
     got = one(spark, S.ieee_div(F.lit(a), F.lit(b)))
     assert math.isnan(got) if want is None else got == want
@@ -63,14 +65,28 @@ def test_validator():
 
 def test_grammar():
     e = lambda text: X.Parser(text).expression()
-    assert e("a OR b AND NOT c = 1 + 2 * -d") == X.Binary("or", X.Name(("a",)), X.Binary("and", X.Name(("b",)), X.Unary("not", X.Binary("=", X.Name(("c",)), X.Binary("+", X.Literal(1), X.Binary("*", X.Literal(2), X.Unary("-", X.Name(("d",)))))))))
+    assert e("a OR b AND NOT c = 1 + 2 * -d") == X.Binary(
+        "or", X.Name(("a",)),
+        X.Binary(
+            "and", X.Name(("b",)),
+            X.Unary(
+                "not",
+                X.Binary("=", X.Name(("c",)), X.Binary("+", X.Literal(1), X.Binary("*", X.Literal(2), X.Unary("-", X.Name(("d",)))))),
+            ),
+        ),
+    )
     assert e("x /* a 'b' */ IS NOT NULL -- c\n") == X.IsNull(X.Name(("x",)), True)
     assert e("'it''s' ") == X.Literal("it's") and e(r"'a\nb\'c\q'") == X.Literal("a\nb'cq") and e('"a ""b"""') == X.Name(('a "b"',))
-    assert e("-9223372036854775808") == X.Literal(MIN) and e("1.5e3") == X.Literal(1500.0) and e("a-1") == X.Binary("-", X.Name(("a",)), X.Literal(1))
+    assert e("-9223372036854775808") == X.Literal(MIN) and e("1.5e3") == X.Literal(1500.0) and e("a-1") == X.Binary(
+        "-", X.Name(("a",)), X.Literal(1),
+    )
     assert e("a NOT IN (1, NULL)") == X.In(X.Name(("a",)), (X.Literal(1), X.Literal(None)), True)
     with pytest.raises(BindError):
         e("9223372036854775808")
-    for beyond in ("SELECT a FROM (SELECT 1)", "SELECT a FROM t UNION SELECT b FROM u", "SELECT sum(a) OVER () FROM t", "WITH x AS (SELECT 1) SELECT 1", "SELECT a FROM", "SELECT CASE WHEN a THEN 1 END FROM t"):
+    for beyond in (
+        "SELECT a FROM (SELECT 1)", "SELECT a FROM t UNION SELECT b FROM u", "SELECT sum(a) OVER () FROM t",
+        "WITH x AS (SELECT 1) SELECT 1", "SELECT a FROM", "SELECT CASE WHEN a THEN 1 END FROM t",
+    ):
         with pytest.raises(X.Beyond):
             X.Parser(beyond).select()
 
@@ -79,10 +95,22 @@ def test_estimates(spark):
     keys = [one(spark, stats.sort_key(F.lit(x), "text")) for x in ("", "A", "Apple", "apple", "b", "zzzzzzzzz")]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
     share = lambda *a, **k: one(spark, stats.range_selectivity(*map(F.lit, a), **k))
-    assert share(0.0, 10.0, 2.5) == 0.25 and share(0.0, 10.0, 2.5, below=False) == 0.75 and share(0.0, 10.0, 99.0) == 1.0 and share(0.0, 10.0, -9.0) == 0.0 and share(5.0, 5.0, 5.0) == 0.5
-    assert one(spark, stats.eq_selectivity(F.lit(0))) == 0.5 and one(spark, stats.in_selectivity(F.lit(4), 3)) == 0.75 and one(spark, stats.in_selectivity(F.lit(2), 3)) == 1.0
+    assert share(0.0, 10.0, 2.5) == 0.25 and share(
+        0.0, 10.0, 2.5, below=False,
+    ) == 0.75 and share(0.0, 10.0, 99.0) == 1.0 and share(0.0, 10.0, -9.0) == 0.0 and share(5.0, 5.0, 5.0) == 0.5
+    assert one(spark, stats.eq_selectivity(F.lit(0))) == 0.5 and one(
+        spark, stats.in_selectivity(F.lit(4), 3),
+    ) == 0.75 and one(spark, stats.in_selectivity(F.lit(2), 3)) == 1.0
     assert one(spark, stats.sort_key(F.lit("1970-01-03"), "date")) == 2.0
-    got = {(r["column"], r.row_count, r.null_count, r.min, r.max) for r in stats.table_stats(spark.createDataFrame([(1, "b"), (None, "a"), (3, None)], "i int, `t x` string"), approximate=True).collect()}
+    got = {
+        (r["column"], r.row_count, r.null_count, r.min, r.max) for r in stats.table_stats(
+            spark.createDataFrame([(1, "b"), (None, "a"), (3, None)], "i int, `t x` string"), approximate=True,
+        ).collect()
+    }
     assert got == {("i", 3, 1, "1", "3"), ("t x", 3, 1, "a", "b")}
-    assert got == {(r["column"], r.row_count, r.null_count, r.min, r.max) for r in stats.table_stats(spark.createDataFrame([(1, "b"), (None, "a"), (3, None)], "i int, `t x` string")).collect()}
+    assert got == {
+        (r["column"], r.row_count, r.null_count, r.min, r.max) for r in stats.table_stats(
+            spark.createDataFrame([(1, "b"), (None, "a"), (3, None)], "i int, `t x` string")
+        ).collect()
+    }
     assert [(r.row_count, r.ndv, r.min) for r in stats.table_stats(spark.createDataFrame([], "i int")).collect()] == [(0, 0, None)]

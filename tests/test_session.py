@@ -111,7 +111,10 @@ def test_a_commit_between_check_and_marker_is_seen(db, spark, root):
 
 
 def test_constraints(db):
-    for bad in ("INSERT INTO users (id, name) VALUES (1, 'dup')", "INSERT INTO users (id, age) VALUES (4, 1)", "UPDATE users SET id = 1 WHERE id = 2", "UPDATE users SET name = NULL"):
+    for bad in (
+        "INSERT INTO users (id, name) VALUES (1, 'dup')", "INSERT INTO users (id, age) VALUES (4, 1)",
+        "UPDATE users SET id = 1 WHERE id = 2", "UPDATE users SET name = NULL",
+    ):
         with pytest.raises(ConstraintViolation):
             db.sql(bad)
     db.sql("CREATE UNIQUE INDEX by_age ON users (age)")
@@ -146,7 +149,9 @@ def test_sql_has_the_engines_rules(db):
     assert rows(db, "SELECT a + b, a - b, a * b FROM n ORDER BY k") == [
         ((1 << 63) - 1, (1 << 63) - 2, (1 << 63) - 1), (-(1 << 63), -(1 << 63) + 1, (1 << 63) - 1), (7, 7, 0), (None, None, None),
     ]
-    assert rows(db, "SELECT a / b, a % b, -a FROM n ORDER BY k") == [((1 << 63) - 1, 0, -(1 << 63) + 1), ((1 << 63) - 1, 0, (1 << 63) - 1), (None, None, -7), (None, None, None)]
+    assert rows(db, "SELECT a / b, a % b, -a FROM n ORDER BY k") == [
+        ((1 << 63) - 1, 0, -(1 << 63) + 1), ((1 << 63) - 1, 0, (1 << 63) - 1), (None, None, -7), (None, None, None),
+    ]
     assert [str(r[0]) for r in db.sql("SELECT x / y FROM n ORDER BY k").collect()] == ["inf", "-inf", "nan", "None"]
     assert [r[0] for r in db.sql("SELECT a FROM n ORDER BY a").collect()] == [-(1 << 63), 7, (1 << 63) - 1, None]
     assert [r[0] for r in db.sql("SELECT a FROM n ORDER BY a DESC").collect()] == [None, (1 << 63) - 1, 7, -(1 << 63)]
@@ -171,7 +176,10 @@ def test_queries(db):
     assert rows(db, "SELECT user_id FROM o GROUP BY user_id HAVING sum(amount) > 5.0 ORDER BY user_id") == [(1,), (None,)]
     assert rows(db, "SELECT current_database(), current_schema(), version()")[0][:2] == ("default", "public")
     # beyond the grammar: Spark's parser over the same tables
-    assert rows(db, "WITH big AS (SELECT id FROM public.users WHERE id > 1) SELECT upper(name) FROM Users WHERE id IN (SELECT id FROM big) ORDER BY name") == [("BOB",), ("CYD",)]
+    assert rows(
+        db,
+        "WITH big AS (SELECT id FROM public.users WHERE id > 1) SELECT upper(name) FROM Users WHERE id IN (SELECT id FROM big) ORDER BY name",
+    ) == [("BOB",), ("CYD",)]
     assert rows(db, "SELECT id FROM users UNION SELECT user_id FROM o WHERE user_id > 5 ORDER BY id") == [(1,), (2,), (3,), (77,)]
 
 
@@ -193,7 +201,10 @@ def test_dropped_tables_leave_no_ghosts(db):
     db.sql("CREATE SCHEMA IF NOT EXISTS app")
     db.sql("CREATE TABLE app.members (id INT)")
     assert rows(db, "SELECT * FROM app.members") == []
-    for ok in ("DROP TABLE IF EXISTS nope", "DROP SCHEMA IF EXISTS nope", "DROP VIEW IF EXISTS nope", "DROP INDEX IF EXISTS nope", "CREATE DATABASE IF NOT EXISTS d", "SET x = 1", "CREATE TABLE IF NOT EXISTS app.members (id INT)"):
+    for ok in (
+        "DROP TABLE IF EXISTS nope", "DROP SCHEMA IF EXISTS nope", "DROP VIEW IF EXISTS nope", "DROP INDEX IF EXISTS nope",
+        "CREATE DATABASE IF NOT EXISTS d", "SET x = 1", "CREATE TABLE IF NOT EXISTS app.members (id INT)",
+    ):
         assert db.sql(ok) is None
 
 
@@ -247,7 +258,9 @@ def test_views_system_tables_and_statistics(db):
     with pytest.raises(BindError):
         db.sql("SELECT id FROM old")
     db.sql("CREATE UNIQUE INDEX by_name ON users (name)")
-    assert [r[0] for r in rows(db, "SELECT name FROM sys_columns WHERE table_name = 'users' ORDER BY ordinal")] == ["id", "name", "age", "note"]
+    assert [
+        r[0] for r in rows(db, "SELECT name FROM sys_columns WHERE table_name = 'users' ORDER BY ordinal")
+    ] == ["id", "name", "age", "note"]
     assert rows(db, "SELECT name, columns, unique_index FROM sys_indexes") == [("by_name", "name", True)]
     assert rows(db, "SELECT columns FROM sys_constraints WHERE table_name = 'users'") == [("id",)]
     assert ("public", "system_migrations") in rows(db, "SELECT schema_name, name FROM sys_tables")

@@ -11,7 +11,9 @@ def contiguous_offset(offsets: DataFrame, resolved: DataFrame, delivered: DataFr
 
     offsets (consumer, offset), resolved and delivered (consumer, seq): it stops before the first delivered but unresolved sequence.
     """
-    open_ = delivered.join(resolved, ["consumer", "seq"], "left_anti").join(offsets, "consumer").where("seq > offset").groupBy("consumer").agg(F.min("seq").alias("hole"))
+    open_ = delivered.join(
+        resolved, ["consumer", "seq"], "left_anti",
+    ).join(offsets, "consumer").where("seq > offset").groupBy("consumer").agg(F.min("seq").alias("hole"))
     high = delivered.groupBy("consumer").agg(F.max("seq").alias("high"))
     j = offsets.join(open_, "consumer", "left").join(high, "consumer", "left")
     return j.select("consumer", F.greatest("offset", F.coalesce(F.col("hole") - 1, "high", "offset")).alias("offset"))
@@ -26,7 +28,9 @@ def classify_acks(acks: DataFrame, pending: DataFrame) -> DataFrame:
 
 def dead_letters(deliveries: DataFrame, max_attempts: int = 5) -> DataFrame:
     """Deliveries that used up their attempts, with their dead-letter path."""
-    return deliveries.where(F.col("attempt") >= max_attempts).withColumn("dlq_path", F.concat_ws("/", F.lit("_system/dlq"), "consumer", F.col("seq").cast("string")))
+    return deliveries.where(F.col("attempt") >= max_attempts).withColumn(
+        "dlq_path", F.concat_ws("/", F.lit("_system/dlq"), "consumer", F.col("seq").cast("string")),
+    )
 
 
 def lag(offsets: DataFrame, events: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ def age_trim(events: DataFrame, cutoff, seq: str = "seq", ts: str = "ts") -> Dat
 def bytes_trim(segments: DataFrame, max_bytes: int) -> DataFrame:
     """The end of the oldest sealed segments (partition, segment, end_seq, bytes) that must go for the rest to fit."""
     newer = Window.orderBy(F.col("segment").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return segments.withColumn("kept_bytes", F.sum("bytes").over(newer)).where(F.col("kept_bytes") > max_bytes).agg(F.max("end_seq").alias("trim_to"))
+    return segments.withColumn(
+        "kept_bytes", F.sum("bytes").over(newer),
+    ).where(F.col("kept_bytes") > max_bytes).agg(F.max("end_seq").alias("trim_to"))
 
 
 class TrimUnsafe(Exception):
@@ -84,7 +86,9 @@ def compaction_candidate(segments: DataFrame, min_segments: int, max_bytes: int)
     """The longest oldest-first run of sealed segments within ``max_bytes`` and of at least ``min_segments``, of the lowest partition that has one."""
     w = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
     run = segments.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("bytes").over(w)).where(F.col("total") <= max_bytes)
-    best = run.groupBy("part").agg(F.max("n").alias("n_segments"), F.max("total").alias("total_bytes"), F.max("end_seq").alias("end_seq")).where(F.col("n_segments") >= min_segments)
+    best = run.groupBy("part").agg(
+        F.max("n").alias("n_segments"), F.max("total").alias("total_bytes"), F.max("end_seq").alias("end_seq"),
+    ).where(F.col("n_segments") >= min_segments)
     return best.orderBy("part").limit(1)
 
 

@@ -17,9 +17,15 @@ def latest(events: DataFrame, key: str = "path", seq: str = "seq") -> DataFrame:
 def resolve(base: DataFrame, patches: DataFrame) -> DataFrame:
     """(path, payload, base_present, overlay_present, layer_seq) of live paths; base (path, payload), patches (path, seq, deleted, payload)."""
     top = latest(patches).select("path", "deleted", F.col("payload").alias("patch"), "seq")
-    both = base.select("path", F.col("payload").alias("sealed"), F.lit(True).alias("b")).join(top.withColumn("o", F.lit(True)), "path", "full")
+    both = base.select(
+        "path", F.col("payload").alias("sealed"), F.lit(True).alias("b"),
+    ).join(top.withColumn("o", F.lit(True)), "path", "full")
     live = both.where("not coalesce(deleted, false)")
-    return live.select("path", F.when(F.col("o"), F.col("patch")).otherwise(F.col("sealed")).alias("payload"), F.coalesce("b", F.lit(False)).alias("base_present"), F.coalesce("o", F.lit(False)).alias("overlay_present"), F.col("seq").alias("layer_seq"))
+    return live.select(
+        "path", F.when(F.col("o"), F.col("patch")).otherwise(F.col("sealed")).alias("payload"),
+        F.coalesce("b", F.lit(False)).alias("base_present"), F.coalesce("o", F.lit(False)).alias("overlay_present"),
+        F.col("seq").alias("layer_seq"),
+    )
 
 
 def list_keys(base: DataFrame, patches: DataFrame, prefix: str = "") -> DataFrame:

@@ -22,7 +22,10 @@ def table_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
         aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(fields):
             c = F.col(f"`{f.name}`")
-            aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}"), text(F.min(c), f).alias(f"lo{i}"), text(F.max(c), f).alias(f"hi{i}")]
+            aggs += [
+                F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}"), text(F.min(c), f).alias(f"lo{i}"),
+                text(F.max(c), f).alias(f"hi{i}"),
+            ]
         parts = [
             F.struct(F.lit(f.name).alias("column"), F.col("rows").alias("row_count"), (F.col("rows") - F.col(f"n{i}")).alias("null_count"), F.col(f"d{i}").alias("ndv"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
             for i, f in enumerate(fields)
@@ -32,7 +35,10 @@ def table_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     for f in fields:
         values = df.select(F.col(f"`{f.name}`").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         nulls = F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0))
-        one = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), nulls.alias("null_count"), F.count("v").alias("ndv"), text(F.min("v"), f).alias("min"), text(F.max("v"), f).alias("max"))
+        one = values.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), nulls.alias("null_count"), F.count("v").alias("ndv"),
+            text(F.min("v"), f).alias("min"), text(F.max("v"), f).alias("max"),
+        )
         one = one.select(F.lit(f.name).alias("column"), "*")
         out = one if out is None else out.unionByName(one)
     return out

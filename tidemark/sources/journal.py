@@ -71,7 +71,9 @@ class Journal:
     def _fold(self, e: dict) -> None:
         s = self._state
         if e["op"] == "append":
-            s["segments"] += [x | {"base": s["end"] + 1, "first": s["end"] + 1 + x["low"], "end": s["end"] + 1 + x["high"]} for x in e["segments"]]
+            s["segments"] += [
+                x | {"base": s["end"] + 1, "first": s["end"] + 1 + x["low"], "end": s["end"] + 1 + x["high"]} for x in e["segments"]
+            ]
             s["end"] += e["n"]
             if e.get("source"):
                 s["sources"][e["source"][0]] = e["source"][1]
@@ -124,7 +126,9 @@ class Journal:
             return None
         have = {c.lower() for c in df.columns}
         default = {"kind": F.lit("event"), "operation": F.lit("put"), "ts_ms": F.lit(now).cast("long"), "event_id": F.expr("uuid()")}
-        value = lambda f: F.coalesce(F.col(f.name), default[f.name]) if f.name in have and f.name in default else F.col(f.name) if f.name in have else default.get(f.name, F.lit(None))
+        value = lambda f: F.coalesce(
+            F.col(f.name), default[f.name],
+        ) if f.name in have and f.name in default else F.col(f.name) if f.name in have else default.get(f.name, F.lit(None))
         keep = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)] or [F.monotonically_increasing_id().alias("_o0")]
         own = df.select(*(value(f).cast(f.dataType).alias(f.name) for f in EVENT.fields), *keep)
         folder = uuid.uuid4().hex
@@ -141,12 +145,21 @@ class Journal:
             rows = rows.join(first, ["producer_id", "idem_key"], "left").join(known, ["producer_id", "idem_key"], "left")
             rows = rows.withColumn("replay", F.coalesce(F.col("old_seq").isNotNull() | (F.col("row") > F.col("first_row")), F.lit(False)))
         else:
-            rows = rows.select("*", F.lit(None).cast("long").alias("first_row"), F.lit(None).cast("long").alias("old_seq"), F.lit(None).cast("string").alias("old_id"), F.lit(False).alias("replay"))
-        fresh = numbered(rows.where(~F.col("replay")), 0, "row").withColumnRenamed("sequence", "ord").withColumn("part", partition_of("path", self.partitions))
+            rows = rows.select(
+                "*", F.lit(None).cast("long").alias("first_row"), F.lit(None).cast("long").alias("old_seq"),
+                F.lit(None).cast("string").alias("old_id"), F.lit(False).alias("replay"),
+            )
+        fresh = numbered(rows.where(~F.col("replay")), 0, "row").withColumnRenamed("sequence", "ord").withColumn(
+            "part", partition_of("path", self.partitions),
+        )
         fresh.select("part", "row", *(f.name for f in _FILE.fields)).write.partitionBy("part").parquet(f"{self.root}/segments/{folder}")
-        written = self.spark.read.schema(T.StructType([T.StructField("part", T.LongType()), T.StructField("row", T.LongType()), *_FILE.fields])).parquet(f"{self.root}/segments/{folder}")
+        written = self.spark.read.schema(
+            T.StructType([T.StructField("part", T.LongType()), T.StructField("row", T.LongType()), *_FILE.fields])
+        ).parquet(f"{self.root}/segments/{folder}")
         size = F.length("path") + F.coalesce(F.length("payload"), F.lit(0))
-        per = written.groupBy("part").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()  # a row for each partition
+        per = written.groupBy("part").agg(
+            F.min("ord").alias("low"), F.max("ord").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"),
+        ).collect()  # a row for each partition
         segments = [{"id": f"{folder}/{r.part}", "part": r.part, "low": r.low, "high": r.high, "n": r.n, "bytes": r.bytes} for r in per]
         total = sum(x["n"] for x in segments)
         if total or source:
@@ -167,7 +180,9 @@ class Journal:
         """Events (seq, part, ...) after ``since`` up to ``upto``; only segments that reach into the range are read."""
         chosen = [x for x in self.state()["segments"] if x["end"] > since and (upto is None or x["first"] <= upto)]
         if not chosen:
-            return self.spark.createDataFrame([], T.StructType([T.StructField("seq", T.LongType()), T.StructField("part", T.LongType()), *EVENT.fields]))
+            return self.spark.createDataFrame(
+                [], T.StructType([T.StructField("seq", T.LongType()), T.StructField("part", T.LongType()), *EVENT.fields]),
+            )
         files = self.spark.read.schema(_FILE).parquet(*(self._path(x) for x in chosen))
         place = F.regexp_extract_all(F.col("_metadata.file_path"), F.lit(r"/([0-9a-f]{32})/part=(\d+)/"), F.lit(1))
         part = F.regexp_extract(F.col("_metadata.file_path"), r"/part=(\d+)/[^/]*$", 1)
@@ -220,7 +235,9 @@ class Journal:
         return O.latest(self._layers().where("operation = 'seal'").select("path", "payload", "seq")).select("path", "payload")
 
     def patches(self) -> DataFrame:
-        return self._layers().where("operation <> 'seal'").select("path", "seq", (F.col("operation") == "delete").alias("deleted"), "payload")
+        return self._layers().where("operation <> 'seal'").select(
+            "path", "seq", (F.col("operation") == "delete").alias("deleted"), "payload",
+        )
 
     def resolve(self, path: str | None = None) -> DataFrame:
         """(path, payload, base_present, overlay_present, layer_seq) of live paths: a delete hides, a put wins, else the base."""
@@ -243,7 +260,9 @@ class Journal:
         prefix = DEAD if consumer is None else f"{DEAD}/{consumer}"
         live = O.resolve(self.base().where("false"), self.patches().where(within("path", prefix)))
         kind = "seq long, event_id string, path string, payload string, attempts long, first_at long, last_at long, reason string"
-        return live.select(F.element_at(F.split("path", "/"), -2).alias("consumer"), F.from_json("payload", kind).alias("e")).select("consumer", "e.*").orderBy("seq")
+        return live.select(
+            F.element_at(F.split("path", "/"), -2).alias("consumer"), F.from_json("payload", kind).alias("e"),
+        ).select("consumer", "e.*").orderBy("seq")
 
     def discard_dead(self, consumer: str, seq: int, now: int) -> bool:
         """Deletes a dead letter by a tombstone; false if there is none."""
@@ -278,7 +297,10 @@ class Journal:
     def floor(self, now: int, offsets: list[int] = (), policy: int | None = None) -> int | None:
         """The last sequence that nobody needs: the least of consumer offsets, the published snapshot, living leases and a policy; null without any."""
         s = self.state()
-        pins = [*offsets, *([s["snapshot"][0]] if s["snapshot"] else []), *(seq for seq, until in s["leases"].values() if until > now), *([policy] if policy is not None else [])]
+        pins = [
+            *offsets, *([s["snapshot"][0]] if s["snapshot"] else []), *(seq for seq, until in s["leases"].values() if until > now),
+            *([policy] if policy is not None else []),
+        ]
         return min(pins, default=None)
 
     def trim(self, upto: int, floor: int | None) -> int:
@@ -313,7 +335,10 @@ class Journal:
         for x in old:
             part = self.spark.read.schema(_FILE).parquet(self._path(x)).withColumn("ord", F.col("ord") + F.lit(x["base"]))
             rows = part if rows is None else rows.unionByName(part)
-        target = {"id": f"{folder}/{best.part}", "part": best.part, "base": 0, "first": old[0]["first"], "end": max(x["end"] for x in old), "n": sum(x["n"] for x in old), "bytes": sum(x["bytes"] for x in old)}
+        target = {
+            "id": f"{folder}/{best.part}", "part": best.part, "base": 0, "first": old[0]["first"], "end": max(x["end"] for x in old),
+            "n": sum(x["n"] for x in old), "bytes": sum(x["bytes"] for x in old),
+        }
         rows.repartitionByRange("ord").sortWithinPartitions("ord").write.parquet(self._path(target))
         gone = [x["id"] for x in old]
         there = {x["id"] for x in self.state()["segments"]}

@@ -33,8 +33,12 @@ def merge(logs: list[DataFrame], seq: str = "sequence", place: str | None = None
         before = F.lag(seq).over(Window.partitionBy("_log", F.col(place) - F.pmod(place, F.lit(_RUN))).orderBy(place))
         # Runs of places are looked at side by side; where two runs meet, their ends are compared
         inside = out.withColumn("_b", before).where(F.col(seq) <= F.col("_b")).select(F.col(seq).alias("at"))
-        runs = out.groupBy("_log", F.floor(F.col(place) / _RUN).alias("r")).agg(F.min_by(seq, place).alias("lo"), F.max_by(seq, place).alias("hi"))
-        meets = runs.withColumn("_b", F.lag("hi").over(Window.partitionBy("_log").orderBy("r"))).where("lo <= _b").select(F.col("lo").alias("at"))
+        runs = out.groupBy("_log", F.floor(F.col(place) / _RUN).alias("r")).agg(
+            F.min_by(seq, place).alias("lo"), F.max_by(seq, place).alias("hi"),
+        )
+        meets = runs.withColumn(
+            "_b", F.lag("hi").over(Window.partitionBy("_log").orderBy("r")),
+        ).where("lo <= _b").select(F.col("lo").alias("at"))
         first = bad.union(inside).union(meets).limit(1).collect()
         if first:
             raise OutOfOrder(f"sequence {first[0][0]}")
@@ -74,7 +78,9 @@ def generator(spark: SparkSession, template: str, interval_ms: int = 1000) -> Da
     """
     step = max(interval_ms, LEAST_INTERVAL)
     rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", step).load()
-    payload: Column = F.replace(F.replace(F.lit(template), F.lit("{n}"), F.col("value").cast("string")), F.lit("{ts}"), F.unix_millis("timestamp").cast("string"))
+    payload: Column = F.replace(
+        F.replace(F.lit(template), F.lit("{n}"), F.col("value").cast("string")), F.lit("{ts}"), F.unix_millis("timestamp").cast("string"),
+    )
     return rate.select(F.col("value").alias("n"), "timestamp", payload.alias("payload"))
 
 

@@ -44,7 +44,9 @@ def ingest(stream: DataFrame, spec: StreamSpec, journal: Journal, checkpoint: st
         now = int(batch.sparkSession.sql("SELECT unix_millis(current_timestamp())").first()[0])
         rows = own.select(*(c for c in ("path", "payload", "kind", "ts_ms") if c in batch.columns))
         if triggers is not None:
-            sent = forward(own, triggers).select(F.concat_ws("/", F.lit("_streams"), "target", "path").alias("path"), "payload", F.lit("forwarded").alias("kind"))
+            sent = forward(own, triggers).select(
+                F.concat_ws("/", F.lit("_streams"), "target", "path").alias("path"), "payload", F.lit("forwarded").alias("kind"),
+            )
             rows = rows.unionByName(sent, allowMissingColumns=True)
         journal.append(rows, now, source=(spec.name, epoch))
 
@@ -57,7 +59,12 @@ def deduplicate(stream: DataFrame, ttl: str = "24 hours") -> DataFrame:
     An entry without either never repeats another: it is told apart by its ``event_id``.
     """
     keyed = F.col("producer_id").isNotNull() & F.col("idem_key").isNotNull()
-    own = stream.withColumn("_key", F.when(keyed, F.struct(F.col("producer_id").cast("string").alias("a"), F.col("idem_key").cast("string").alias("b"))).otherwise(F.struct(F.lit(None).cast("string").alias("a"), F.col("event_id").cast("string").alias("b"))))
+    own = stream.withColumn(
+        "_key",
+        F.when(
+            keyed, F.struct(F.col("producer_id").cast("string").alias("a"), F.col("idem_key").cast("string").alias("b")),
+        ).otherwise(F.struct(F.lit(None).cast("string").alias("a"), F.col("event_id").cast("string").alias("b"))),
+    )
     return own.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
@@ -66,7 +73,9 @@ def forward(events: DataFrame, triggers: DataFrame) -> DataFrame:
 
     The trigger table is configuration; Spark broadcasts it where its size allows.
     """
-    fires = (events["kind"] == triggers["on_kind"]) & ((events["path"] == triggers["path_prefix"]) | events["path"].startswith(F.concat(triggers["path_prefix"], F.lit("/"))))
+    fires = (events["kind"] == triggers["on_kind"]) & (
+        (events["path"] == triggers["path_prefix"]) | events["path"].startswith(F.concat(triggers["path_prefix"], F.lit("/")))
+    )
     return events.join(triggers, fires).select(*(events[c] for c in events.columns), "trigger_id", "target")
 
 
@@ -109,7 +118,9 @@ def overlay_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         if (epoch + 1) % MERGE_EVERY:
             return
         latest(spark.read.parquet(*_overlay_paths(spark, path, epoch))).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/merged/{epoch}")
-        for kind, upto in (("merged", epoch - 1), ("patches", epoch - MERGE_EVERY)):  # readers of the last merge but one have a batch's time to end
+        for kind, upto in (
+            ("merged", epoch - 1), ("patches", epoch - MERGE_EVERY),
+        ):  # readers of the last merge but one have a batch's time to end
             for n in _numbers(spark, f"{path}/{kind}"):
                 if n <= upto:
                     p, fs = _folder(spark, f"{path}/{kind}/{n}")
@@ -182,7 +193,9 @@ class LiveFeed:
                     self.lost[i] += max(0, len(q) + n - capacity)
                     q.extend(rows)
 
-        self._start: Callable[[], StreamingQuery] = lambda: stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        self._start: Callable[[], StreamingQuery] = lambda: stream.writeStream.foreachBatch(send).option(
+            "checkpointLocation", checkpoint,
+        ).trigger(availableNow=True).start()
 
     def subscribe(self) -> Callable[[], list]:
         """A function that returns the rows since its last call, in order."""
