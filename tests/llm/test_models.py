@@ -70,12 +70,19 @@ class Plain:
 
 def test_mixture_equals_plain_em(spark):
     langs = list(ALPHABETS)
-    train = [(words(langs[i % 4], 60), langs[i % 4]) for i in range(80)] + [(None, "aa"), ("text", None), ("", "bb"), (words("aa", 60), "aa")]
+    train = [(words(langs[i % 4], 60), langs[i % 4]) for i in range(80)] + [
+        (None, "aa"), ("text", None), ("", "bb"), (words("aa", 60), "aa"),
+    ]
     asked = [words(langs[i % 4], int(RNG.integers(1, 40))) for i in range(60)]
-    asked += [words("aa", 60) + "\n" + words("cc", 40) + "!", words("bb", 30) + " " + words("dd", 30), None, "", "12 ?!\t", "Ä", "a", words("bb", 30_000), asked[0], asked[0]]
+    asked += [
+        words("aa", 60) + "\n" + words("cc", 40) + "!", words("bb", 30) + " " + words("dd", 30), None, "", "12 ?!\t", "Ä", "a",
+        words("bb", 30_000), asked[0], asked[0],
+    ]
     rows = spark.createDataFrame(train, "text string, lang string").repartition(3)
     model = langmix.train(rows)
-    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(4).withColumn("lang", F.lit("cc")).withColumn("score", F.lit(7)).withColumn("langs", F.lit("x"))
+    docs = spark.createDataFrame(
+        list(enumerate(asked)), "doc_id long, text string",
+    ).repartition(4).withColumn("lang", F.lit("cc")).withColumn("score", F.lit(7)).withColumn("langs", F.lit("x"))
     got = {r.doc_id: r for r in langmix.predict(spark, docs, model).collect()}
     plain = Plain(train)
     assert model[0] == plain.langs and len(got) == len(asked)
@@ -107,7 +114,10 @@ def direct(texts, labels):
     """Scores of all rows at once by the normal equations, with the operator's features."""
     x = np.array([quality.statistics(t) for t in texts], np.float64)
     rng = np.random.default_rng(7)
-    m = quality.Model(x.mean(0), np.maximum(np.sqrt(np.maximum((x**2).mean(0) - x.mean(0) ** 2, 0)), 1e-3), rng.normal(size=(quality.WIDTH, quality.FEATURES)) * np.sqrt(2 * quality.GAMMA), rng.uniform(0, 2 * np.pi, quality.FEATURES))
+    m = quality.Model(
+        x.mean(0), np.maximum(np.sqrt(np.maximum((x**2).mean(0) - x.mean(0) ** 2, 0)), 1e-3),
+        rng.normal(size=(quality.WIDTH, quality.FEATURES)) * np.sqrt(2 * quality.GAMMA), rng.uniform(0, 2 * np.pi, quality.FEATURES),
+    )
     z = m.lift(x)
     eye = quality.RIDGE * np.eye(z.shape[1])
     y = np.array(labels, float)
@@ -120,7 +130,9 @@ def direct(texts, labels):
 
 
 def test_ridge_equals_a_direct_solution(spark):
-    texts = [words("aa", int(RNG.integers(5, 80))) + "." * int(RNG.integers(0, 3)) for _ in range(150)] + [words("bb", int(RNG.integers(5, 80))).upper() + "!!$" for _ in range(110)]
+    texts = [
+        words("aa", int(RNG.integers(5, 80))) + "." * int(RNG.integers(0, 3)) for _ in range(150)
+    ] + [words("bb", int(RNG.integers(5, 80))).upper() + "!!$" for _ in range(110)]
     texts += [None, "", words("aa", 40_000), texts[0], texts[0]]
     labels = [1] * 150 + [0] * 110 + [0, 0, 1, 1, 0]
     stats = quality.describe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
@@ -140,9 +152,15 @@ def test_ridge_equals_a_direct_solution(spark):
 
 def test_quality_of_awkward_rows(spark):
     good, bad = [words("aa", 50).capitalize() + "." for _ in range(80)], [words("bb", 50) + " $$$" for _ in range(80)]
-    rows = [(i, t) for i, t in enumerate(good + bad)] + [(3, good[3]), (3, good[3]), (500, words("aa", 30_000)), (501, None), (502, ""), (None, good[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS quality", "1 AS score", "2 AS label", "'s' AS stats", "true AS held_out")
-    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(160)], "doc_id long, quality int").selectExpr("*", "'t' AS text", "9 AS stats", "1 AS label")
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [
+        (3, good[3]), (3, good[3]), (500, words("aa", 30_000)), (501, None), (502, ""), (None, good[0]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'x' AS quality", "1 AS score", "2 AS label", "'s' AS stats", "true AS held_out",
+    )
+    labels = spark.createDataFrame(
+        [(i, int(i < 80)) for i in range(160)], "doc_id long, quality int",
+    ).selectExpr("*", "'t' AS text", "9 AS stats", "1 AS label")
     got = quality.quality(spark, docs, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
     assert len({r.score for r in got if r.doc_id == 3}) == 1 and all(0 <= r.score <= 1 for r in got)
@@ -156,7 +174,9 @@ def test_quality_of_awkward_rows(spark):
 @given
 def test_held_out_quality(spark):
     found = queries.op5_quality(spark, SF)
-    rows = found.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out and quality is not null").select("doc_id", "predicted", "quality").collect()
+    rows = found.join(
+        spark.read.parquet(f"{SF}/labels.parquet"), "doc_id",
+    ).where("held_out and quality is not null").select("doc_id", "predicted", "quality").collect()
     assert {zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows} == {0}
     assert len(rows) > 40 and sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
 

@@ -38,9 +38,15 @@ def awkward():
     passage = prose(50)
     rows = list(enumerate(base))
     rows += [(100 + i, edited(base[i % 3], 1 + i % 9)) for i in range(40)]
-    rows += [(200, base[0]), (201, base[0]), (202, base[1] + "  "), (203, None), (204, ""), (205, " \n\t "), (206, "one"), (207, "one two three four"), (208, "one two three four")]
+    rows += [
+        (200, base[0]), (201, base[0]), (202, base[1] + "  "), (203, None), (204, ""), (205, " \n\t "), (206, "one"),
+        (207, "one two three four"), (208, "one two three four"),
+    ]
     rows += [(300 + i, prose(30) + "\n" + passage + "\n" + prose(30)) for i in range(8)]
-    rows += [(400, " ".join([prose(7)] * 20)), (401, prose(9000)), (402, "é ß 　日本 語 x " + prose(40)), (0, base[0]), (None, prose(60)), (None, None)]
+    rows += [
+        (400, " ".join([prose(7)] * 20)), (401, prose(9000)), (402, "é ß 　日本 語 x " + prose(40)), (0, base[0]), (None, prose(60)),
+        (None, None),
+    ]
     return rows
 
 
@@ -49,7 +55,9 @@ EXTRA = ", 1 AS d, 2 AS th, 'x' AS key, 0 AS kept, 5 AS n_words, 'y' AS held_out
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(awkward(), "doc_id long, text string").repartition(5).selectExpr("*", *[c.strip() for c in EXTRA[2:].split(", ")])
+    return spark.createDataFrame(awkward(), "doc_id long, text string").repartition(5).selectExpr(
+        "*", *[c.strip() for c in EXTRA[2:].split(", ")],
+    )
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +105,11 @@ def test_order_minhash_links_every_pair_in_a_large_family(spark, block, monkeypa
     close = {(i, j) for i in range(1000) for j in range(i) if len(sets[i] & sets[j]) * 1.8 >= (len(sets[i]) + len(sets[j])) * 0.8 - 1e-6}
     assert close == {(900 + i, i) for i in range(100)}
     assert all(omh.similarity(omh.labelled(texts[i]), omh.labelled(texts[j])) >= 0.8 for i, j in close)
-    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    got = {
+        r.doc_id: r.class_id for r in omh.near_duplicates(
+            spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4),
+        ).collect()
+    }
     assert got == {i: i - 900 if i >= 900 else i for i in range(1000)}
 
 
@@ -162,8 +174,14 @@ def test_language_mixture(spark):
     rows = [(i, make(k, 40), k) for i in range(90) for k in (list(sets)[i % 3],)]
     model = langmix.train(spark.createDataFrame([*rows, (1, None, "aa"), (2, "text", None)], "doc_id long, text string, lang string"))
     assert model[0] == ["aa", "bb", "cc"]
-    asked = [(i, make(k, 30)) for i, k in enumerate(sets)] + [(10, make("aa", 40) + " " + make("bb", 20)), (11, None), (12, ""), (13, "12 !?"), (14, "\U00020000"), (15, "x")]
-    got = {r.doc_id: r for r in langmix.predict(spark, spark.createDataFrame(asked, "doc_id long, text string").withColumn("held_out", F.lit("?")), model).collect()}
+    asked = [(i, make(k, 30)) for i, k in enumerate(sets)] + [
+        (10, make("aa", 40) + " " + make("bb", 20)), (11, None), (12, ""), (13, "12 !?"), (14, "\U00020000"), (15, "x"),
+    ]
+    got = {
+        r.doc_id: r for r in langmix.predict(
+            spark, spark.createDataFrame(asked, "doc_id long, text string").withColumn("held_out", F.lit("?")), model,
+        ).collect()
+    }
     assert [got[i].lang_pred for i in range(3)] == ["aa", "bb", "cc"]
     assert got[10].langs == ["aa", "bb"] and abs(got[10].shares[0] - 2 / 3) < 0.1
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (11, 12, 13))
@@ -176,7 +194,9 @@ def test_chat_round_trip(spark):
     odd = ["\\### Assistant: </turn> ok", "\\b\\h\\l\\c:#<", "", None, "a: b\n### user: x </turn>\n", "ü😀 "]
     rows = [(c, t, r, odd[(c + t) % len(odd)]) for c in range(6) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "a:b#"][: 1 + c])]
     rows += [(7, 1, "assistant", "tie b"), (7, 1, "assistant", "tie a"), (7, 1, "assistant", "tie a"), (None, 0, None, None)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("t", F.lit(2))
+    df = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string",
+    ).withColumn("formatted", F.lit(1)).withColumn("t", F.lit(2))
     back = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
     for c in {r[0] for r in rows}:
         own = sorted(((t, r or "", x or "") for d, t, r, x in rows if d == c))
@@ -216,9 +236,20 @@ def test_isotonic_and_inverse():
 
 def test_license_rules(spark, empty):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    rows = [(1, "Text. Released under the MIT License. More text"), (2, mit), (3, mit.split("\n")[1] + "\n" + mit.split("\n")[0]), (4, None), (5, ""), (6, "Licensed under the Apache License, Version 2.0.\nall RIGHTS reserved!"), (7, "the MIT licence is nice. software"), (1, "Licensed under CC BY-NC 4.0.")]
-    got = sorted((r.doc_id, r.licenses, r.n_sentences) for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(3))).collect())
-    assert got == [(1, "CC-BY-NC-4.0", 1), (1, "MIT", 1), (2, "MIT", 2), (3, "", 2), (4, "", 0), (5, "", 0), (6, "Apache-2.0,Proprietary", 2), (7, "", 0)]
+    rows = [
+        (1, "Text. Released under the MIT License. More text"), (2, mit), (3, mit.split("\n")[1] + "\n" + mit.split("\n")[0]), (4, None),
+        (5, ""), (6, "Licensed under the Apache License, Version 2.0.\nall RIGHTS reserved!"), (7, "the MIT licence is nice. software"),
+        (1, "Licensed under CC BY-NC 4.0."),
+    ]
+    got = sorted(
+        (r.doc_id, r.licenses, r.n_sentences) for r in licenses.recognise(
+            spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(3))
+        ).collect()
+    )
+    assert got == [
+        (1, "CC-BY-NC-4.0", 1), (1, "MIT", 1), (2, "MIT", 2), (3, "", 2), (4, "", 0), (5, "", 0), (6, "Apache-2.0,Proprietary", 2),
+        (7, "", 0),
+    ]
     assert licenses.recognise(empty).collect() == []
 
 
@@ -273,7 +304,11 @@ def test_true_licence_texts_are_found_when_wrapped(spark):
         "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
         "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
     }
-    rows = [*texts.items(), ("MIT", "Text.\nReleased under the\nMIT License.\nMore"), ("MIT", "no full stop\nReleased under the MIT License\nmore"), ("BSD-3-Clause", BSD + BSD_NAME % "University of X, Y"), ("", MIT.split("\n\n")[0]), ("BSD-2-Clause,BSD-3-Clause", BSD + BSD_NAME % "X" + "\n" + BSD)]
+    rows = [
+        *texts.items(), ("MIT", "Text.\nReleased under the\nMIT License.\nMore"),
+        ("MIT", "no full stop\nReleased under the MIT License\nmore"), ("BSD-3-Clause", BSD + BSD_NAME % "University of X, Y"),
+        ("", MIT.split("\n\n")[0]), ("BSD-2-Clause,BSD-3-Clause", BSD + BSD_NAME % "X" + "\n" + BSD),
+    ]
     rows += [(want, text.replace("\n", "\r\n")) for want, text in texts.items()]
     got = licenses.recognise(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.licenses for r in got} == {i: want for i, (want, _) in enumerate(rows)}
@@ -297,14 +332,23 @@ def test_epsilon_grid_equals_all_pairs(spark, block, monkeypatch):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(25, 16))
     rows = [(i, (base[i % 25] + rng.normal(size=16) * (0.02 + 0.01 * (i % 20))).tolist(), i % 3) for i in range(240)]
-    rows += [(300 + i, rows[0][1], 0) for i in range(9)] + [(310, rows[0][1], None), (311, None, 0), (312, [0.0] * 16, 0), (313, [float("nan")] * 16, 0), (314, [1.0] * 4, 0), (315, [1.0] * 4, 0), (316, [None] * 16, 0), (317, [], 0), (318, [float("inf")] + [0.0] * 15, 0)]
-    rows += [(319, [1e300 * x for x in rows[0][1]], 0), (320, [1e-300 * x for x in rows[0][1]], 0), (None, rows[0][1], 0), (None, None, None)]
+    rows += [(300 + i, rows[0][1], 0) for i in range(9)] + [
+        (310, rows[0][1], None), (311, None, 0), (312, [0.0] * 16, 0), (313, [float("nan")] * 16, 0), (314, [1.0] * 4, 0),
+        (315, [1.0] * 4, 0), (316, [None] * 16, 0), (317, [], 0), (318, [float("inf")] + [0.0] * 15, 0),
+    ]
+    rows += [
+        (319, [1e300 * x for x in rows[0][1]], 0), (320, [1e-300 * x for x in rows[0][1]], 0), (None, rows[0][1], 0), (None, None, None),
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("mult", F.lit(1)).repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego.near_vectors(spark, df).collect()}
     ok = {i: np.array(v) / max(map(abs, v)) for i, v, label in rows if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     ok = {i: v / np.linalg.norm(v) for i, v in ok.items()}
     label = {i: x for i, _, x in rows}
-    links = {i: {j for j in ok if j != i and i in ok and label[i] == label[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.98} for i in label}
+    links = {
+        i: {
+            j for j in ok if j != i and i in ok and label[i] == label[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.98
+        } for i in label
+    }
     for i in label:
         seen, todo = {i}, [i]
         while todo:
@@ -369,7 +413,9 @@ def encoded(text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "one <|endoftext|><|endoftext|>", "half <|endoftext >"])
+@pytest.mark.parametrize(
+    "text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "one <|endoftext|><|endoftext|>", "half <|endoftext >"],
+)
 def test_added_tokens_are_encoded_as_the_library_does(text):
     from tidemark.llm.tokens import Coder, tokenizer_json
 
@@ -457,5 +503,9 @@ def test_fm_with_many_equal_rows(spark):
     """Equal rows are places of their own, at a cost in proportion to their number."""
     text, other = prose(200), prose(100)
     rows = [(7, text)] * 3000 + [(8, other), (None, None)]
-    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in fm.passages(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    got = Counter(
+        (r.doc_id, r.n_words, r.n_removed) for r in fm.passages(
+            spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6),
+        ).collect()
+    )
     assert got == {(7, 200, 200): 3000, (8, 100, 0): 1, (None, 0, 0): 1}

@@ -56,7 +56,9 @@ _ISC = "permission to use copy modify and{} distribute this software for any pur
 _BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 #: The clause of BSD-3-Clause names an organisation; any name is read as the copyright holder.
 NAMED = "^neither the name of .{1,200}? (nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission)$"
-_free = lambda what, kind, version: f"this {what} is free software you can redistribute it and or modify it " + _FSF.format(kind, version)
+_free = lambda what, kind, version: f"this {what} is free software you can redistribute it and or modify it " + _FSF.format(
+    kind, version,
+)
 # Whole normalised sentences of the licences' own texts and file headers.
 FULL_SENTENCES = {
     next(s for s, i in SENTENCES.items() if i == "mit-grant") + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
@@ -114,4 +116,6 @@ def recognise(docs: DataFrame) -> DataFrame:
     three = "," + ",".join(next(rule for name, rule in FULL_RULES if name == "BSD-3-Clause")) + ","
     two = F.replace(framed, F.lit(three), F.lit(",,"))
     hits = F.array_compact(F.array(*(F.when((two if name == "BSD-2-Clause" else framed).contains("," + ",".join(rule) + ","), F.lit(name)) for name, rule in RULES + FULL_RULES)))
-    return seq.withColumn("licenses", F.when(F.col("n_sentences") > 0, F.array_join(F.array_sort(F.array_distinct(hits)), ",")).otherwise(""))
+    return seq.withColumn(
+        "licenses", F.when(F.col("n_sentences") > 0, F.array_join(F.array_sort(F.array_distinct(hits)), ",")).otherwise(""),
+    )
