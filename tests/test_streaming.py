@@ -27,7 +27,9 @@ def test_ingest_keeps_its_scope_once(spark, journal, tmp_path):
     triggers = spark.createDataFrame([("t", "put", "b/0", "out")], "trigger_id string, on_kind string, path_prefix string, target string")
     for _ in range(2):
         flows.ingest(journal[0], flows.StreamSpec("s", "b"), j, f"{tmp_path}/cp", triggers).awaitTermination()
-    flows.ingest(journal[0], flows.StreamSpec("s", "b"), j, f"{tmp_path}/cp-lost", triggers).awaitTermination()  # its checkpoint was lost: batches come again
+    flows.ingest(
+        journal[0], flows.StreamSpec("s", "b"), j, f"{tmp_path}/cp-lost", triggers,
+    ).awaitTermination()  # its checkpoint was lost: batches come again
     want = [(r[1], r[4]) for r in ROWS if r[1].startswith("b/")]
     want += [(f"_streams/out/{p}", x) for p, x in want if p == "b/0"]
     assert sorted((r.path, r.payload) for r in j.checked().collect()) == sorted(want)
@@ -58,7 +60,9 @@ def test_triggers_and_dedupe_on_streams(spark, journal, tmp_path):
     q.awaitTermination()
     assert sorted(r.seq for r in spark.table("fired").collect()) == [r[0] for r in ROWS if r[1] == "b/0"]
     key = F.when(F.col("seq") > 4, F.col("seq") % 10)
-    s = journal[0].withColumn("ts", F.timestamp_seconds("seq")).withColumn("producer_id", F.lit("p")).withColumn("idem_key", key).withColumn("event_id", F.col("seq"))
+    s = journal[0].withColumn(
+        "ts", F.timestamp_seconds("seq"),
+    ).withColumn("producer_id", F.lit("p")).withColumn("idem_key", key).withColumn("event_id", F.col("seq"))
     q = flows.deduplicate(s).writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("deduped").count() == 10 + 4  # four have no key
@@ -69,7 +73,9 @@ def test_delivery_state(spark, tmp_path):
     path = f"{tmp_path}/acts"
     spark.createDataFrame(rows, "part long, kind string, seq long").coalesce(1).write.parquet(path)
     s = spark.readStream.schema("part long, kind string, seq long").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     q = flows.deliver(s).writeStream.format("memory").queryName("delivered").trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("delivered").collect()} == {(0, 2, "acked", 1), (0, 1, "retry", 2)}
@@ -79,7 +85,9 @@ def test_delivery_state(spark, tmp_path):
 def events(spark, tmp_path):
     """40 events in 4 appends over two partitions; two are of no operation that is delivered."""
     j = Journal(spark, f"file://{tmp_path}/events", partitions=2)
-    rows = spark.createDataFrame([(r[0], r[1], r[4], "event" if r[0] in (1, 2) else "put") for r in ROWS], "n long, path string, payload string, operation string")
+    rows = spark.createDataFrame(
+        [(r[0], r[1], r[4], "event" if r[0] in (1, 2) else "put") for r in ROWS], "n long, path string, payload string, operation string",
+    )
     for k in range(4):
         j.append(rows.where(f"(n - 1) div 10 = {k}"), 1000 + k, "n")
     return j
@@ -100,7 +108,13 @@ def test_append_numbers_and_routes(spark, events):
 
 
 def test_idempotent_producers(spark, events):
-    rows = spark.createDataFrame([(1, "k/1", "a", "p", "1"), (2, "k/2", "b", "p", "1"), (3, "k/3", "c", "p", None), (4, "k/4", "d", None, "1"), (5, "k/5", "e", "p", None)], "n int, path string, payload string, producer_id string, idem_key string")
+    rows = spark.createDataFrame(
+        [
+            (1, "k/1", "a", "p", "1"), (2, "k/2", "b", "p", "1"), (3, "k/3", "c", "p", None), (4, "k/4", "d", None, "1"),
+            (5, "k/5", "e", "p", None),
+        ],
+        "n int, path string, payload string, producer_id string, idem_key string",
+    )
     first = events.append(rows, 10_000, "n").orderBy("path").collect()
     assert [(r.seq, r.replay) for r in first] == [(41, False), (41, True), (42, False), (43, False), (44, False)]
     again = events.append(rows, 20_000, "n").orderBy("path").collect()
@@ -117,7 +131,9 @@ def test_paths_lie_over_a_base(events):
     events.put("k", "over", 3)
     at = events.publish()
     events.delete("k/1", 4)
-    assert {(r.path, r.payload, r.base_present, r.overlay_present) for r in events.resolve().where("path like 'k%'").collect()} == {("k", "over", True, True)}
+    assert {
+        (r.path, r.payload, r.base_present, r.overlay_present) for r in events.resolve().where("path like 'k%'").collect()
+    } == {("k", "over", True, True)}
     assert [r.path for r in events.list("k").collect()] == ["k"]
     events.put("k/1", "back", 5)
     assert [r.path for r in events.list("k").collect()] == ["k", "k/1"]
@@ -152,7 +168,9 @@ def test_subscription(spark, events):
     s = Subscription(events, "s1", scope="b", retries=Retries(max_attempts=2))  # another driver goes on
     assert s.ack(3, 1) == "stale" and s.ack(5, 1) == "unknown" and s.ack(3, 2) == "acked" and s.ack(3, 2) == "acked"
     assert s.consume(0) == (6, 1) and s.fail(6, 0) == "retry" and s.fail(6, 50, "bad") == "dead" and s.offset == 6
-    assert [(r.consumer, r.seq, r.path, r.payload, r.attempts, r.first_at, r.last_at, r.reason) for r in s.dead().collect()] == [("s1", 6, "b/2", "p6", 2, 0, 50, "bad")]
+    assert [
+        (r.consumer, r.seq, r.path, r.payload, r.attempts, r.first_at, r.last_at, r.reason) for r in s.dead().collect()
+    ] == [("s1", 6, "b/2", "p6", 2, 0, 50, "bad")]
     assert s.consume(60) == (9, 1)
     assert s.retry_dead(6, 60) == (6, 1) and s.retry_dead(6, 61) == (6, 2) and s.retry_dead(5, 60) is None
     assert s.ack_batch([(6, 2), (9, 1), (77, 1)]) == {"acked": [6, 9], "stale": [], "unknown": [77]}
@@ -224,7 +242,9 @@ def test_sources(spark, tmp_path):
 
 
 def test_generator_emits_at_its_interval(spark, tmp_path):
-    q = generator(spark, "n={n} at {ts}", 10).writeStream.format("memory").queryName("made").option("checkpointLocation", f"{tmp_path}/g").trigger(processingTime="50 milliseconds").start()
+    q = generator(spark, "n={n} at {ts}", 10).writeStream.format("memory").queryName("made").option(
+        "checkpointLocation", f"{tmp_path}/g",
+    ).trigger(processingTime="50 milliseconds").start()
     try:
         for _ in range(100):
             time.sleep(0.2)
@@ -241,10 +261,23 @@ def test_generator_emits_at_its_interval(spark, tmp_path):
 def test_applying_events_rejects_gaps(spark):
     state = spark.createDataFrame([(1, 1, "insert", "a")], "row_id long, seq long, op string, v string")
     more = lambda rows: spark.createDataFrame(rows, "row_id long, seq long, op string, v string, event_id string")
-    got, at = J.apply_next(state, more([(9, 1, "insert", "old", "x"), (1, 2, "update", "b", "y"), (2, 3, "insert", "c", "z"), (2, 4, "delete", None, "w"), (3, 5, "insert", "d", "z")]), 1)
+    got, at = J.apply_next(
+        state,
+        more(
+            [
+                (9, 1, "insert", "old", "x"), (1, 2, "update", "b", "y"), (2, 3, "insert", "c", "z"), (2, 4, "delete", None, "w"),
+                (3, 5, "insert", "d", "z"),
+            ]
+        ),
+        1,
+    )
     assert sorted((r.row_id, r.v) for r in got.collect()) == [(1, "b")] and at == 5
     with pytest.raises(J.Gap):
         J.apply_next(state, more([(1, 3, "update", "b", "y")]), 1)
     assert J.apply_next(state, more([(1, 1, "update", "b", "y")]), 1)[1] == 1
-    rows = spark.createDataFrame([("p", "k", 1), ("p", "k", 2), (None, "k", 3), (None, "k", 4), ("p", None, 5)], "producer_id string, idem_key string, seq long")
-    assert sorted((r.seq, r.original_seq, r.replay) for r in J.idempotent(rows).collect()) == [(1, 1, False), (2, 1, True), (3, 3, False), (4, 4, False), (5, 5, False)]
+    rows = spark.createDataFrame(
+        [("p", "k", 1), ("p", "k", 2), (None, "k", 3), (None, "k", 4), ("p", None, 5)], "producer_id string, idem_key string, seq long",
+    )
+    assert sorted((r.seq, r.original_seq, r.replay) for r in J.idempotent(rows).collect()) == [
+        (1, 1, False), (2, 1, True), (3, 3, False), (4, 4, False), (5, 5, False),
+    ]

@@ -49,8 +49,12 @@ WHERE c.c_acctbal > 0 GROUP BY r.r_name HAVING count(*) > 1 ORDER BY n_customers
 def acceptance(spark, d):
     """Join, filter, group, having, order and limit in one: the flagship."""
     c = table(spark, d, "customer", "c_nationkey", "c_acctbal").where("c_acctbal > 0")
-    j = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    g = j.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("n_customers"), (F.sum(_money("c_acctbal")).cast("double") / F.count(F.lit(1))).alias("avg_balance"))
+    j = c.join(
+        table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left",
+    ).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    g = j.groupBy(F.col("r_name").alias("region")).agg(
+        F.count(F.lit(1)).alias("n_customers"), (F.sum(_money("c_acctbal")).cast("double") / F.count(F.lit(1))).alias("avg_balance"),
+    )
     return g.where("n_customers > 1").orderBy(S.descending("n_customers"), S.ascending("region")).limit(5)
 
 
@@ -61,7 +65,9 @@ def scan_project(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS doubled, o_orderkey + 1 AS next_key FROM orders")
 def project_expr(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"), S.sat_add("o_orderkey", F.lit(1)).alias("next_key"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"), S.sat_add("o_orderkey", F.lit(1)).alias("next_key"),
+    )
 
 
 @query("SELECT * FROM nation")
@@ -74,9 +80,15 @@ def empty_scan(spark, d):
     return table(spark, d, "nation", "n_nationkey", "n_name").limit(0)
 
 
-@query("SELECT * FROM (VALUES (1, 10, 1200, true), (2, 10, 800, true), (3, 20, 1500, false), (4, NULL, NULL, NULL)) v(id, department_id, salary, active) WHERE salary >= 1000")
+@query(
+    "SELECT * FROM (VALUES (1, 10, 1200, true), (2, 10, 800, true), (3, 20, 1500, false), (4, NULL, NULL, NULL)) v(id, department_id, "
+    "salary, active) WHERE salary >= 1000"
+)
 def in_memory_source(spark, d):
-    return spark.createDataFrame([(1, 10, 1200, True), (2, 10, 800, True), (3, 20, 1500, False), (4, None, None, None)], "id int, department_id int, salary int, active boolean").where("salary >= 1000")
+    return spark.createDataFrame(
+        [(1, 10, 1200, True), (2, 10, 800, True), (3, 20, 1500, False), (4, None, None, None)],
+        "id int, department_id int, salary int, active boolean",
+    ).where("salary >= 1000")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'F' AND o_orderkey <= 5000")
@@ -95,7 +107,10 @@ _NV = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v
 
 def _nulls(spark, d):
     e = table(spark, d, "events", "event_id", "user_id", "value")
-    return e.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"), F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("u"))
+    return e.select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"),
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("u"),
+    )
 
 
 @query(f"SELECT event_id, v FROM ({_NV}) WHERE v > 10 AND NOT (u < 50) OR v IS NULL AND u > 100")
@@ -124,11 +139,16 @@ def not_in_null(spark, d):
     return n.where(S.in_list("u", [1, 2, 3], negated=True)).select("event_id", S.in_list("u", [1, None], negated=True).alias("missing"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (0 - l_orderkey) // (l_linenumber % 3) END AS q, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (0 - l_orderkey) % (l_linenumber % 3) END AS r FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (0 - l_orderkey) // (l_linenumber % 3) END AS q, "
+    "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE (0 - l_orderkey) % (l_linenumber % 3) END AS r FROM lineitem"
+)
 def int_div_mod_zero(spark, d):
     """Division cuts towards zero and a zero divisor gives null."""
     b = F.col("l_linenumber") % 3
-    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", S.int_div(-F.col("l_orderkey"), b).alias("q"), S.int_mod(-F.col("l_orderkey"), b).alias("r"))
+    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber").select(
+        "l_orderkey", "l_linenumber", S.int_div(-F.col("l_orderkey"), b).alias("q"), S.int_mod(-F.col("l_orderkey"), b).alias("r"),
+    )
 
 
 _CLAMP = "CAST(greatest(least({}, 9223372036854775807::HUGEINT), (-9223372036854775808)::HUGEINT) AS BIGINT)"
@@ -137,27 +157,46 @@ _CLAMP = "CAST(greatest(least({}, 9223372036854775807::HUGEINT), (-9223372036854
 @query("SELECT p_partkey, " + ", ".join(f"{_CLAMP.format(e)} AS {n}" for e, n in (("9223372036854775000::HUGEINT + p_partkey", "plus"), ("(-9223372036854775000)::HUGEINT - p_partkey", "minus"), ("9000000000000000::HUGEINT * (p_partkey - 1000)", "times"))) + " FROM part")
 def saturating_arith(spark, d):
     k, big = F.col("p_partkey"), 9223372036854775000
-    return table(spark, d, "part", "p_partkey").select("p_partkey", S.sat_add(F.lit(big), k).alias("plus"), S.sat_sub(F.lit(-big), k).alias("minus"), S.sat_mul(F.lit(9000000000000000), k - 1000).alias("times"))
+    return table(spark, d, "part", "p_partkey").select(
+        "p_partkey", S.sat_add(F.lit(big), k).alias("plus"), S.sat_sub(F.lit(-big), k).alias("minus"),
+        S.sat_mul(F.lit(9000000000000000), k - 1000).alias("times"),
+    )
 
 
-@query("SELECT p_partkey, CASE WHEN s = 0 THEN CASE WHEN k = 0 THEN 'NaN' WHEN k > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE 'finite' END AS kind, CASE WHEN s <> 0 THEN k / s END AS quotient, CASE WHEN s <> 0 THEN k - s * trunc(k / s) + 0.0 END AS rest, s = 0 AS rest_is_nan FROM (SELECT p_partkey, CAST(p_partkey % 5 - 2 AS DOUBLE) AS k, CAST(p_size % 3 AS DOUBLE) AS s FROM part)")
+@query(
+    "SELECT p_partkey, CASE WHEN s = 0 THEN CASE WHEN k = 0 THEN 'NaN' WHEN k > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE 'finite' END "
+    "AS kind, CASE WHEN s <> 0 THEN k / s END AS quotient, CASE WHEN s <> 0 THEN k - s * trunc(k / s) + 0.0 END AS rest, s = 0 AS "
+    "rest_is_nan FROM (SELECT p_partkey, CAST(p_partkey % 5 - 2 AS DOUBLE) AS k, CAST(p_size % 3 AS DOUBLE) AS s FROM part)"
+)
 def ieee_double(spark, d):
     q = S.ieee_div(F.col("p_partkey") % 5 - 2, F.col("p_size") % 3)
     kind = F.when(q.cast("string").isin("NaN", "Infinity", "-Infinity"), q.cast("string")).otherwise("finite")
     m = S.ieee_mod(F.col("p_partkey") % 5 - 2, F.col("p_size") % 3)
     finite = F.col("p_size") % 3 != 0
-    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", kind.alias("kind"), F.when(finite, q).alias("quotient"), F.when(finite, m + F.lit(0.0)).alias("rest"), F.isnan(m).alias("rest_is_nan"))
+    return table(spark, d, "part", "p_partkey", "p_size").select(
+        "p_partkey", kind.alias("kind"), F.when(finite, q).alias("quotient"), F.when(finite, m + F.lit(0.0)).alias("rest"),
+        F.isnan(m).alias("rest_is_nan"),
+    )
 
 
 @query("SELECT l_orderkey, -l_quantity AS minus_quantity, -l_linenumber AS minus_line FROM lineitem")
 def unary_neg(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", S.negate("l_quantity").alias("minus_quantity"), S.negate("l_linenumber", integer=True).alias("minus_line"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", S.negate("l_quantity").alias("minus_quantity"), S.negate("l_linenumber", integer=True).alias("minus_line"),
+    )
 
 
-@query("SELECT event_id, 'a\\b' || event_type AS tagged, current_database() IS NOT NULL AS has_db, version() IS NOT NULL AS has_version, current_schema() IS NOT NULL AS has_schema, now() IS NOT NULL AS has_now FROM events")
+@query(
+    "SELECT event_id, 'a\\b' || event_type AS tagged, current_database() IS NOT NULL AS has_db, version() IS NOT NULL AS has_version, "
+    "current_schema() IS NOT NULL AS has_schema, now() IS NOT NULL AS has_now FROM events"
+)
 def literals_and_session_functions(spark, d):
     e = table(spark, d, "events", "event_id", "event_type")
-    return e.select("event_id", F.concat(F.lit("a\\b"), "event_type").alias("tagged"), F.current_database().isNotNull().alias("has_db"), F.version().isNotNull().alias("has_version"), F.current_schema().isNotNull().alias("has_schema"), F.current_timestamp().isNotNull().alias("has_now"))
+    return e.select(
+        "event_id", F.concat(F.lit("a\\b"), "event_type").alias("tagged"), F.current_database().isNotNull().alias("has_db"),
+        F.version().isNotNull().alias("has_version"), F.current_schema().isNotNull().alias("has_schema"),
+        F.current_timestamp().isNotNull().alias("has_now"),
+    )
 
 
 # ---- joins
@@ -165,12 +204,16 @@ def literals_and_session_functions(spark, d):
 
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_inner(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
+    return table(spark, d, "orders").join(
+        table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"),
+    ).select("o_orderkey", "c_name", "o_totalprice")
 
 
 def _sides(spark, d):
     """All orders and customers; keys are shifted, so that every outer join has unmatched rows on both sides."""
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").withColumn("ok", F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).otherwise(-F.col("o_custkey")))
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey").withColumn(
+        "ok", F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).otherwise(-F.col("o_custkey")),
+    )
     return o, table(spark, d, "customer", "c_custkey", "c_name")
 
 
@@ -196,10 +239,15 @@ def join_full(spark, d):
     return o.join(c, F.col("ok") == F.col("c_custkey"), "full").select("o_orderkey", "c_custkey", "c_name")
 
 
-@query("SELECT a.event_id, n.n_name FROM (SELECT event_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 30 END AS k FROM events) a LEFT JOIN nation n ON a.k = n.n_nationkey")
+@query(
+    "SELECT a.event_id, n.n_name FROM (SELECT event_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 30 END AS k FROM events) a "
+    "LEFT JOIN nation n ON a.k = n.n_nationkey"
+)
 def join_null_keys(spark, d):
     """Null keys match nothing, and a 64-bit key meets a 32-bit one by value."""
-    e = table(spark, d, "events", "event_id", "user_id").select("event_id", F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 30).alias("k"))
+    e = table(spark, d, "events", "event_id", "user_id").select(
+        "event_id", F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 30).alias("k"),
+    )
     return e.join(table(spark, d, "nation"), F.col("k") == F.col("n_nationkey"), "left").select("event_id", "n_name")
 
 
@@ -208,28 +256,43 @@ def join_cross(spark, d):
     return table(spark, d, "region", "r_name").crossJoin(table(spark, d, "nation", "n_name"))
 
 
-@query("SELECT n_name, count(*) AS n_orders FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey GROUP BY n_name")
+@query(
+    "SELECT n_name, count(*) AS n_orders FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey GROUP "
+    "BY n_name"
+)
 def join_three_tables(spark, d):
-    j = table(spark, d, "orders", "o_custkey").join(table(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = table(spark, d, "orders", "o_custkey").join(
+        table(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"),
+    ).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE false) ON o_custkey = c_custkey")
 def join_empty_side(spark, d):
-    return table(spark, d, "orders", "o_orderkey", "o_custkey").join(table(spark, d, "customer", "c_custkey", "c_name").limit(0), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+    return table(spark, d, "orders", "o_orderkey", "o_custkey").join(
+        table(spark, d, "customer", "c_custkey", "c_name").limit(0), F.col("o_custkey") == F.col("c_custkey"), "left",
+    ).select("o_orderkey", "c_name")
 
 
 # ---- aggregation
 
 
-@query("SELECT count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean FROM lineitem")
+@query(
+    "SELECT count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) "
+    "AS DOUBLE) / count(*) AS mean FROM lineitem"
+)
 def agg_global(spark, d):
-    return table(spark, d, "lineitem", "l_quantity").agg(F.count(F.lit(1)).alias("n"), F.sum(_money("l_quantity")).cast("double").alias("total"), (F.sum(_money("l_quantity")).cast("double") / F.count(F.lit(1))).alias("mean"))
+    return table(spark, d, "lineitem", "l_quantity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_money("l_quantity")).cast("double").alias("total"),
+        (F.sum(_money("l_quantity")).cast("double") / F.count(F.lit(1))).alias("mean"),
+    )
 
 
 @query("SELECT count(*) AS n, sum(l_quantity) AS total, avg(l_quantity) AS mean FROM lineitem WHERE false")
 def agg_global_empty(spark, d):
-    return table(spark, d, "lineitem", "l_quantity").where("false").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"), F.avg("l_quantity").alias("mean"))
+    return table(spark, d, "lineitem", "l_quantity").where("false").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"), F.avg("l_quantity").alias("mean"),
+    )
 
 
 @query(f"SELECT u, count(*) AS n, count(v) AS n_values, CAST(sum(u) AS BIGINT) AS sum_u FROM ({_NV}) GROUP BY u")
@@ -238,9 +301,14 @@ def count_nullable(spark, d):
     return _nulls(spark, d).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_values"), F.sum("u").alias("sum_u"))
 
 
-@query("SELECT l_linenumber % 2 AS odd, l_returnflag, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem GROUP BY l_linenumber % 2, l_returnflag")
+@query(
+    "SELECT l_linenumber % 2 AS odd, l_returnflag, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue "
+    "FROM lineitem GROUP BY l_linenumber % 2, l_returnflag"
+)
 def group_by_expr(spark, d):
-    return table(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 2).alias("odd"), "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(_money("l_extendedprice")).cast("double").alias("revenue"))
+    return table(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 2).alias("odd"), "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_money("l_extendedprice")).cast("double").alias("revenue"),
+    )
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10")
@@ -250,7 +318,9 @@ def having(spark, d):
 
 @query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_totalprice) > 1000 AND count(*) >= 5")
 def having_not_selected(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n")).where("m > 1000 AND n >= 5").select("o_custkey")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(
+        F.max("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"),
+    ).where("m > 1000 AND n >= 5").select("o_custkey")
 
 
 @query("SELECT count(*) AS n FROM orders HAVING count(*) > 0")
@@ -258,9 +328,15 @@ def having_global(spark, d):
     return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
 
 
-@query("SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderdate) AS first_day, CAST(sum(o_custkey) AS BIGINT) + 1 AS nested FROM orders GROUP BY o_orderpriority")
+@query(
+    "SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderdate) AS first_day, CAST(sum(o_custkey) AS "
+    "BIGINT) + 1 AS nested FROM orders GROUP BY o_orderpriority"
+)
 def min_max(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.min("o_orderdate").alias("first_day"), (F.sum("o_custkey") + 1).alias("nested"))
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(
+        F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.min("o_orderdate").alias("first_day"),
+        (F.sum("o_custkey") + 1).alias("nested"),
+    )
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -330,9 +406,15 @@ round(greatest(0.0, least(1.0, ({_DAY}) / (epoch(max(o_orderdate)) - epoch(min(o
 def est_selectivity(spark, d):
     o = table(spark, d, "orders").withColumn("maybe", F.when(F.col("o_orderkey") % 7 != 0, 1))
     n, low, high = F.count(F.lit(1)), F.min("o_orderkey").cast("double"), F.max("o_orderkey").cast("double")
-    s = o.agg(n.alias("n"), F.countDistinct("o_orderstatus").alias("ndv"), low.alias("lo"), high.alias("hi"), (n - F.count("maybe")).alias("nulls"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    s = o.agg(
+        n.alias("n"), F.countDistinct("o_orderstatus").alias("ndv"), low.alias("lo"), high.alias("hi"),
+        (n - F.count("maybe")).alias("nulls"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"),
+    )
     eq, below = T.eq_selectivity(F.col("ndv")), T.range_selectivity(F.col("lo"), F.col("hi"), F.lit(5000.0))
-    day = T.range_selectivity(T.sort_key(F.col("first"), "timestamp"), T.sort_key(F.col("last"), "timestamp"), T.sort_key(F.lit("1996-01-01").cast("timestamp_ntz"), "timestamp"))
+    day = T.range_selectivity(
+        T.sort_key(F.col("first"), "timestamp"), T.sort_key(F.col("last"), "timestamp"),
+        T.sort_key(F.lit("1996-01-01").cast("timestamp_ntz"), "timestamp"),
+    )
     found = {
         "eq": eq, "ne": T.not_selectivity(eq), "below": below, "above": T.range_selectivity(F.col("lo"), F.col("hi"), F.lit(5000.0), below=False), "both": T.and_selectivity(eq, below),
         "either": T.or_selectivity(eq, below), "in_two": T.in_selectivity(F.col("ndv"), 2), "nulls": T.null_fraction(F.col("nulls"), F.col("n")),
@@ -340,18 +422,28 @@ def est_selectivity(spark, d):
     return s.select(*(F.round(c, 9).alias(k) for k, c in found.items()), F.round(day, 6).alias("before_day"))
 
 
-@query("SELECT CASE WHEN c.n < o.n THEN 'right' ELSE 'left' END AS built FROM (SELECT count(*) AS n FROM orders) o, (SELECT count(*) AS n FROM customer) c")
+@query(
+    "SELECT CASE WHEN c.n < o.n THEN 'right' ELSE 'left' END AS built FROM (SELECT count(*) AS n FROM orders) o, (SELECT count(*) AS n "
+    "FROM customer) c"
+)
 def build_side(spark, d):
     """The smaller estimated side builds; EngineSession broadcasts it where statistics show that it fits."""
     o, c = (table(spark, d, t).agg(F.count(F.lit(1)).alias(t)) for t in ("orders", "customer"))
     return o.crossJoin(c).select(T.build_side(F.col("orders"), F.col("customer")).alias("built"))
 
 
-@query("SELECT round(CAST(o.n * c.n AS DOUBLE) / greatest(o.k, c.k), 6) AS rows_join, least(CAST(o.n AS DOUBLE), CAST(o.k AS DOUBLE)) AS rows_group FROM (SELECT count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders) o, (SELECT count(*) AS n, count(DISTINCT c_custkey) AS k FROM customer) c")
+@query(
+    "SELECT round(CAST(o.n * c.n AS DOUBLE) / greatest(o.k, c.k), 6) AS rows_join, least(CAST(o.n AS DOUBLE), CAST(o.k AS DOUBLE)) AS "
+    "rows_group FROM (SELECT count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders) o, (SELECT count(*) AS n, count(DISTINCT "
+    "c_custkey) AS k FROM customer) c"
+)
 def est_join_rows(spark, d):
     o = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("on"), F.countDistinct("o_custkey").alias("ok"))
     c = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("cn"), F.countDistinct("c_custkey").alias("ck"))
-    return o.crossJoin(c).select(F.round(T.join_rows(F.col("on"), F.col("cn"), F.col("ok"), F.col("ck")), 6).alias("rows_join"), T.group_rows(F.col("on"), F.col("ok")).alias("rows_group"))
+    return o.crossJoin(c).select(
+        F.round(T.join_rows(F.col("on"), F.col("cn"), F.col("ok"), F.col("ck")), 6).alias("rows_join"),
+        T.group_rows(F.col("on"), F.col("ok")).alias("rows_group"),
+    )
 
 
 # ---- change log, constraints, transactions
@@ -361,7 +453,10 @@ _LOG = "SELECT event_id + 1 AS seq, user_id AS row_id, value, CASE WHEN event_ty
 
 def _log(spark, d):
     e = table(spark, d, "events", "event_id", "user_id", "event_type", "value")
-    return e.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("row_id"), "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+    return e.select(
+        (F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("row_id"), "value",
+        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
+    )
 
 
 def _as_of(where: str = "true") -> str:
@@ -400,7 +495,10 @@ def not_null_violations(spark, d):
     return constraints.null_rows(_nulls(spark, d), ["v"]).select("event_id")
 
 
-@query("SELECT table_name, column_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY column_index) - 1 AS BIGINT) AS ordinal FROM duckdb_columns() WHERE table_name IN ('nation', 'region', 'orders')")
+@query(
+    "SELECT table_name, column_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY column_index) - 1 AS BIGINT) AS ordinal "
+    "FROM duckdb_columns() WHERE table_name IN ('nation', 'region', 'orders')"
+)
 def catalog_columns(spark, d):
     return catalog.columns_of({t: table(spark, d, t) for t in ("nation", "region", "orders")})
 
@@ -433,7 +531,9 @@ _EV = _EV.replace("CAST(value AS VARCHAR) AS payload", "'p' || CAST(event_id AS
 
 def _base(spark, d):
     e = table(spark, d, "events", "event_type", "user_id")
-    return e.select(F.concat_ws("/", "event_type", (F.col("user_id") % 40).cast("string")).alias("path"), F.lit("sealed").alias("payload")).distinct()
+    return e.select(
+        F.concat_ws("/", "event_type", (F.col("user_id") % 40).cast("string")).alias("path"), F.lit("sealed").alias("payload"),
+    ).distinct()
 
 
 _RESOLVED = f"""SELECT coalesce(b.path, o.path) AS path, CASE WHEN o.path IS NULL THEN b.payload ELSE o.payload END AS payload, b.path IS NOT NULL AS base_present, o.path IS NOT NULL AS overlay_present, o.seq AS layer_seq
@@ -456,9 +556,16 @@ def prefix_scan(spark, d):
     return _events(spark, d).where(S.within("path", "view/1")).select("seq", "path")
 
 
-@query(f"SELECT seq, trigger_id, target FROM ({_EV}) e JOIN (VALUES ('t1', 'purchase', 'purchase', 'out-a'), ('t2', 'error', 'error/1', 'out-b'), ('t3', 'purchase', 'purchase/7', 'out-c')) t(trigger_id, on_kind, path_prefix, target) ON e.kind = t.on_kind AND (e.path = t.path_prefix OR starts_with(e.path, t.path_prefix || '/'))")
+@query(
+    f"SELECT seq, trigger_id, target FROM ({_EV}) e JOIN (VALUES ('t1', 'purchase', 'purchase', 'out-a'), ('t2', 'error', 'error/1', "
+    "'out-b'), ('t3', 'purchase', 'purchase/7', 'out-c')) t(trigger_id, on_kind, path_prefix, target) ON e.kind = t.on_kind AND (e.path "
+    "= t.path_prefix OR starts_with(e.path, t.path_prefix || '/'))"
+)
 def trigger_forward(spark, d):
-    triggers = spark.createDataFrame([("t1", "purchase", "purchase", "out-a"), ("t2", "error", "error/1", "out-b"), ("t3", "purchase", "purchase/7", "out-c")], "trigger_id string, on_kind string, path_prefix string, target string")
+    triggers = spark.createDataFrame(
+        [("t1", "purchase", "purchase", "out-a"), ("t2", "error", "error/1", "out-b"), ("t3", "purchase", "purchase/7", "out-c")],
+        "trigger_id string, on_kind string, path_prefix string, target string",
+    )
     return flows.forward(_events(spark, d), triggers).select("seq", "trigger_id", "target")
 
 
@@ -482,7 +589,10 @@ def apply_once(spark, d):
 _HOLES = f"SELECT seq FROM ({_EV}) WHERE seq % 97 <> 0 UNION ALL SELECT seq FROM ({_EV}) WHERE seq % 501 = 0"
 
 
-@query(f"SELECT seq, 'duplicate' AS fault FROM ({_HOLES}) GROUP BY seq HAVING count(*) > 1 UNION ALL SELECT seq, 'gap' FROM (SELECT seq, lag(seq) OVER (ORDER BY seq) AS p FROM (SELECT DISTINCT seq FROM ({_HOLES}))) WHERE seq - p > 1")
+@query(
+    f"SELECT seq, 'duplicate' AS fault FROM ({_HOLES}) GROUP BY seq HAVING count(*) > 1 UNION ALL SELECT seq, 'gap' FROM (SELECT seq, "
+    f"lag(seq) OVER (ORDER BY seq) AS p FROM (SELECT DISTINCT seq FROM ({_HOLES}))) WHERE seq - p > 1"
+)
 def seq_gap_check(spark, d):
     e = _events(spark, d).select("seq")
     return sequence_faults(e.where("seq % 97 <> 0").union(e.where("seq % 501 = 0")), "seq")
@@ -517,7 +627,9 @@ def _delivered(spark, d):
 
 
 def _offsets(spark):
-    return spark.range(0, 8).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("consumer"), F.lit(100).cast("long").alias("offset"))
+    return spark.range(0, 8).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("consumer"), F.lit(100).cast("long").alias("offset"),
+    )
 
 
 @query(f"SELECT o.consumer, greatest(100, coalesce(h.hole - 1, d.high, 100)) AS \"offset\" FROM (SELECT 'c' || CAST(range AS VARCHAR) AS consumer FROM range(8)) o LEFT JOIN (SELECT consumer, min(seq) AS hole FROM ({_OPEN}) GROUP BY consumer) h ON o.consumer = h.consumer LEFT JOIN (SELECT consumer, max(seq) AS high FROM ({_DELIVERED}) GROUP BY consumer) d ON o.consumer = d.consumer")
@@ -526,18 +638,27 @@ def contiguous_offset(spark, d):
     return C.contiguous_offset(_offsets(spark), sent.where("seq % 211 <> 0"), sent)
 
 
-@query(f"SELECT consumer, seq, seq % 3 AS attempt, CASE WHEN seq % 5 = 0 THEN 'unknown' WHEN seq % 3 < 2 THEN 'stale' ELSE 'acked' END AS outcome FROM ({_DELIVERED})")
+@query(
+    "SELECT consumer, seq, seq % 3 AS attempt, CASE WHEN seq % 5 = 0 THEN 'unknown' WHEN seq % 3 < 2 THEN 'stale' ELSE 'acked' END AS "
+    f"outcome FROM ({_DELIVERED})"
+)
 def ack_batch(spark, d):
     sent = _delivered(spark, d)
     return C.classify_acks(sent.withColumn("attempt", F.col("seq") % 3), sent.where("seq % 5 <> 0").withColumn("attempt", F.lit(2)))
 
 
-@query("SELECT range AS attempt, CAST(least(floor(100 * pow(2, least(greatest(range - 1, 0), 16))), 30000) AS BIGINT) AS delay_ms FROM range(1, 25)")
+@query(
+    "SELECT range AS attempt, CAST(least(floor(100 * pow(2, least(greatest(range - 1, 0), 16))), 30000) AS BIGINT) AS delay_ms FROM "
+    "range(1, 25)"
+)
 def backoff_schedule(spark, d):
     return spark.range(1, 25).select(F.col("id").alias("attempt"), S.backoff("id").alias("delay_ms"))
 
 
-@query(f"SELECT consumer, seq, seq % 7 AS attempt, '_system/dlq/' || consumer || '/' || CAST(seq AS VARCHAR) AS dlq_path FROM ({_DELIVERED}) WHERE seq % 7 >= 5")
+@query(
+    "SELECT consumer, seq, seq % 7 AS attempt, '_system/dlq/' || consumer || '/' || CAST(seq AS VARCHAR) AS dlq_path FROM "
+    f"({_DELIVERED}) WHERE seq % 7 >= 5"
+)
 def dlq_split(spark, d):
     return C.dead_letters(_delivered(spark, d).withColumn("attempt", F.col("seq") % 7))
 
@@ -561,7 +682,9 @@ def group_assignment(spark, d):
 @query(f"SELECT part, min(seq) - 1 AS earliest, max(seq) AS latest FROM ({_EV}) GROUP BY part")
 def group_offsets(spark, d):
     e = _events(spark, d)
-    return C.group_start(e, "earliest").withColumnRenamed("start", "earliest").join(C.group_start(e, "latest").withColumnRenamed("start", "latest"), "part")
+    return C.group_start(e, "earliest").withColumnRenamed("start", "earliest").join(
+        C.group_start(e, "latest").withColumnRenamed("start", "latest"), "part",
+    )
 
 
 @query("SELECT range AS attempt, [0, 1, 5, 30, 60][CAST(least(range, 5) AS INTEGER)]::BIGINT AS delay_s FROM range(1, 9)")
@@ -569,15 +692,22 @@ def group_backoff(spark, d):
     return spark.range(1, 9).select(F.col("id").alias("attempt"), S.group_backoff("id").alias("delay_s"))
 
 
-@query(f"SELECT member, count(*) AS n_parts, min(part) AS first_part, max(latest) AS last_seq FROM (SELECT part, ['a', 'b', 'm'][CAST(part % 3 AS INTEGER) + 1] AS member, max(seq) AS latest FROM ({_EV}) GROUP BY part) GROUP BY member ORDER BY member")
+@query(
+    "SELECT member, count(*) AS n_parts, min(part) AS first_part, max(latest) AS last_seq FROM (SELECT part, ['a', 'b', 'm'][CAST(part "
+    f"% 3 AS INTEGER) + 1] AS member, max(seq) AS latest FROM ({_EV}) GROUP BY part) GROUP BY member ORDER BY member"
+)
 def group_describe(spark, d):
     g = group_assignment(spark, d).join(C.group_start(_events(spark, d), "latest"), "part")
-    return g.groupBy("member").agg(F.count(F.lit(1)).alias("n_parts"), F.min("part").alias("first_part"), F.max("start").alias("last_seq")).orderBy("member")
+    return g.groupBy("member").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.min("part").alias("first_part"), F.max("start").alias("last_seq"),
+    ).orderBy("member")
 
 
 @query(f"SELECT kind AS consumer, max(seq) AS committed FROM ({_EV}) WHERE seq % 3 = 0 GROUP BY kind")
 def commit_offsets(spark, d):
-    return O.latest(_events(spark, d).where("seq % 3 = 0").select(F.col("kind").alias("consumer"), "seq"), "consumer").select("consumer", F.col("seq").alias("committed"))
+    return O.latest(
+        _events(spark, d).where("seq % 3 = 0").select(F.col("kind").alias("consumer"), "seq"), "consumer",
+    ).select("consumer", F.col("seq").alias("committed"))
 
 
 # ---- retention and compaction
@@ -590,13 +720,22 @@ def _segments(spark, d):
     return e.groupBy("part", "segment").agg(F.max("seq").alias("end_seq"), F.sum(F.length("path") + F.length("payload")).alias("bytes"))
 
 
-@query(f"SELECT min(pin) AS floor FROM (SELECT min(seq) AS pin FROM ({_EV}) WHERE kind = 'error' UNION ALL SELECT 900::BIGINT UNION ALL SELECT NULL)")
+@query(
+    f"SELECT min(pin) AS floor FROM (SELECT min(seq) AS pin FROM ({_EV}) WHERE kind = 'error' UNION ALL SELECT 900::BIGINT UNION ALL "
+    "SELECT NULL)"
+)
 def retention_watermark(spark, d):
     e = _events(spark, d)
-    return J.retention_floor(e.where("kind = 'error'").agg(F.min("seq").alias("pin")), spark.range(900, 901).select(F.col("id").alias("pin")), spark.sql("SELECT CAST(NULL AS BIGINT) AS pin"))
+    return J.retention_floor(
+        e.where("kind = 'error'").agg(F.min("seq").alias("pin")), spark.range(900, 901).select(F.col("id").alias("pin")),
+        spark.sql("SELECT CAST(NULL AS BIGINT) AS pin"),
+    )
 
 
-@query(f"SELECT max(seq) AS trim_to FROM ({_EV}) WHERE seq < (SELECT min(seq) FROM ({_EV}) WHERE ts >= (SELECT ts FROM ({_EV}) WHERE seq = 400))")
+@query(
+    f"SELECT max(seq) AS trim_to FROM ({_EV}) WHERE seq < (SELECT min(seq) FROM ({_EV}) WHERE ts >= (SELECT ts FROM ({_EV}) WHERE seq = "
+    "400))"
+)
 def age_trim(spark, d):
     e = _events(spark, d)
     cutoff = e.where("seq = 400").agg(F.max("ts").alias("cutoff"))
@@ -612,12 +751,19 @@ def bytes_trim(spark, d):
     return J.bytes_trim(s, 50000)
 
 
-@query(f"SELECT least((SELECT max(seq) FROM ({_EV}) WHERE seq < 400), (SELECT max(end_seq) FROM (SELECT *, sum(bytes) OVER (ORDER BY segment DESC) AS kept FROM ({_SEG1})) WHERE kept > 50000)) AS trim_to")
+@query(
+    f"SELECT least((SELECT max(seq) FROM ({_EV}) WHERE seq < 400), (SELECT max(end_seq) FROM (SELECT *, sum(bytes) OVER (ORDER BY "
+    f"segment DESC) AS kept FROM ({_SEG1})) WHERE kept > 50000)) AS trim_to"
+)
 def combined_policy(spark, d):
     return age_trim(spark, d).withColumnRenamed("trim_to", "a").crossJoin(bytes_trim(spark, d).withColumnRenamed("trim_to", "b")).select(F.least("a", "b").alias("trim_to"))
 
 
-@query(f"SELECT part, max(n) AS n_segments, CAST(max(total) AS BIGINT) AS total_bytes, max(end_seq) AS end_seq FROM (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM ({_SEG}) WINDOW w AS (PARTITION BY part ORDER BY segment)) WHERE total <= 5000 GROUP BY part HAVING max(n) >= 2 ORDER BY part LIMIT 1")
+@query(
+    "SELECT part, max(n) AS n_segments, CAST(max(total) AS BIGINT) AS total_bytes, max(end_seq) AS end_seq FROM (SELECT *, row_number() "
+    f"OVER w AS n, sum(bytes) OVER w AS total FROM ({_SEG}) WINDOW w AS (PARTITION BY part ORDER BY segment)) WHERE total <= 5000 GROUP "
+    "BY part HAVING max(n) >= 2 ORDER BY part LIMIT 1"
+)
 def compaction_candidate(spark, d):
     return J.compaction_candidate(_segments(spark, d), 2, 5000)
 
@@ -674,11 +820,17 @@ def session_order(spark, d):
 def _customers(spark, d) -> EngineSession:
     db = _session(spark, d)
     db.sql("CREATE TABLE customer (id BIGINT PRIMARY KEY, name TEXT NOT NULL, balance DOUBLE, segment TEXT, note TEXT DEFAULT 'none')")
-    db.insert("customer", table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment"))
+    db.insert(
+        "customer",
+        table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment"),
+    )
     return db
 
 
-@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'none' AS note FROM customer UNION ALL SELECT -1, 'new', -2.5, 'a,b' UNION ALL SELECT -2, 'newer', NULL, 'none'")
+@query(
+    "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'none' AS note FROM customer UNION ALL SELECT -1, 'new', -2.5, 'a,b' "
+    "UNION ALL SELECT -2, 'newer', NULL, 'none'"
+)
 def session_insert(spark, d):
     db = _customers(spark, d)
     db.sql("INSERT INTO customer (id, name, balance, note) VALUES (-1, 'new', -2.5, 'a,b')")
@@ -686,7 +838,10 @@ def session_insert(spark, d):
     return db.sql("SELECT id, name, balance, note FROM customer")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS balance, CASE WHEN c_acctbal < 0 THEN 'was ' || 'low' WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'none' END AS note FROM customer")
+@query(
+    "SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS balance, CASE WHEN c_acctbal < 0 THEN 'was ' || "
+    "'low' WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'none' END AS note FROM customer"
+)
 def session_update(spark, d):
     db = _customers(spark, d)
     db.sql("UPDATE customer SET note = NULL WHERE segment = 'BUILDING'")
@@ -701,7 +856,10 @@ def session_delete(spark, d):
     return db.sql("SELECT id FROM customer")
 
 
-@query("SELECT 'open' AS seen_in, c_custkey AS id, 'mine' AS note FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'other', c_custkey, 'none' FROM customer UNION ALL SELECT 'after', c_custkey, 'mine' FROM customer WHERE c_custkey % 2 = 0")
+@query(
+    "SELECT 'open' AS seen_in, c_custkey AS id, 'mine' AS note FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'other', "
+    "c_custkey, 'none' FROM customer UNION ALL SELECT 'after', c_custkey, 'mine' FROM customer WHERE c_custkey % 2 = 0"
+)
 def session_transaction(spark, d):
     """An open transaction reads its own writes, another session does not, until they are committed; a rolled-back one leaves nothing."""
     db = _customers(spark, d)
@@ -740,7 +898,11 @@ def session_alter(spark, d):
     return db.sql("SELECT id, rank FROM customer")
 
 
-@query("SELECT * FROM (VALUES ('column', 'customer', 'id', 0), ('column', 'customer', 'name', 1), ('column', 'customer', 'balance', 2), ('column', 'customer', 'segment', 3), ('column', 'customer', 'note', 4), ('index', 'customer', 'by_name', NULL), ('view', 'rich', 'rich', NULL)) v(kind, table_name, name, ordinal)")
+@query(
+    "SELECT * FROM (VALUES ('column', 'customer', 'id', 0), ('column', 'customer', 'name', 1), ('column', 'customer', 'balance', 2), "
+    "('column', 'customer', 'segment', 3), ('column', 'customer', 'note', 4), ('index', 'customer', 'by_name', NULL), ('view', 'rich', "
+    "'rich', NULL)) v(kind, table_name, name, ordinal)"
+)
 def session_catalog(spark, d):
     """The system tables after definitions."""
     db = _customers(spark, d)
@@ -749,8 +911,12 @@ def session_catalog(spark, d):
     db.sql("CREATE TABLE gone (a INT)")
     db.sql("DROP TABLE gone")
     columns = db.sql("SELECT table_name, name, ordinal FROM sys_columns WHERE table_name <> 'system_migrations'").select(F.lit("column").alias("kind"), "*")
-    indexes = db.sql("SELECT table_name, name FROM sys_indexes").select(F.lit("index").alias("kind"), "*", F.lit(None).cast("int").alias("ordinal"))
-    views = db.sql("SELECT name FROM sys_views").select(F.lit("view").alias("kind"), F.col("name").alias("table_name"), "name", F.lit(None).cast("int").alias("ordinal"))
+    indexes = db.sql("SELECT table_name, name FROM sys_indexes").select(
+        F.lit("index").alias("kind"), "*", F.lit(None).cast("int").alias("ordinal"),
+    )
+    views = db.sql("SELECT name FROM sys_views").select(
+        F.lit("view").alias("kind"), F.col("name").alias("table_name"), "name", F.lit(None).cast("int").alias("ordinal"),
+    )
     return columns.unionByName(indexes).unionByName(views)
 
 
@@ -762,7 +928,10 @@ def session_view(spark, d):
     return db.sql("SELECT id FROM rich")
 
 
-@query("SELECT * FROM (VALUES ('primary key', 'refused'), ('not null', 'refused'), ('unique', 'refused'), ('null key', 'taken'), ('conflict', 'refused'), ('null comparison', 'refused'), ('types', 'refused')) v(rule, outcome)")
+@query(
+    "SELECT * FROM (VALUES ('primary key', 'refused'), ('not null', 'refused'), ('unique', 'refused'), ('null key', 'taken'), "
+    "('conflict', 'refused'), ('null comparison', 'refused'), ('types', 'refused')) v(rule, outcome)"
+)
 def session_constraints(spark, d):
     """What the engine refuses, over the whole customer table."""
     from tidemark.plans.changelog import WriteConflict
@@ -794,7 +963,10 @@ def session_constraints(spark, d):
     return spark.createDataFrame(out, "rule string, outcome string")
 
 
-@query("SELECT * FROM (VALUES ('column', 'refused'), ('star', 'refused'), ('other case', 'refused'), ('nested', 'refused'), ('write', 'refused'), ('allowed', 'taken')) v(access, outcome)")
+@query(
+    "SELECT * FROM (VALUES ('column', 'refused'), ('star', 'refused'), ('other case', 'refused'), ('nested', 'refused'), ('write', "
+    "'refused'), ('allowed', 'taken')) v(access, outcome)"
+)
 def session_access(spark, d):
     """Revoked columns and grants hold however a name is written."""
 
@@ -806,7 +978,12 @@ def session_access(spark, d):
     db.authorize = grants
     for t in ("customer", "nation"):
         db.attach(t, table(spark, d, t))
-    tries = {"column": "SELECT c_acctbal FROM customer", "star": "SELECT * FROM customer", "other case": "SELECT c_custkey FROM Nation, Customer", "nested": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM NATION)", "write": "CREATE TABLE t (a INT)", "allowed": "SELECT c_custkey FROM CUSTOMER"}
+    tries = {
+        "column": "SELECT c_acctbal FROM customer", "star": "SELECT * FROM customer",
+        "other case": "SELECT c_custkey FROM Nation, Customer",
+        "nested": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM NATION)", "write": "CREATE TABLE t (a INT)",
+        "allowed": "SELECT c_custkey FROM CUSTOMER",
+    }
     out = []
     for access, text in tries.items():
         try:
@@ -817,7 +994,13 @@ def session_access(spark, d):
     return spark.createDataFrame(out, "access string, outcome string")
 
 
-@query(" UNION ALL ".join(_stat(c).replace("FROM orders", "FROM (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 5 <> 0)") for c in ("id", "name", "segment")))
+@query(
+    " UNION ALL ".join(
+        _stat(c).replace(
+            "FROM orders", "FROM (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 5 <> 0)",
+        ) for c in ("id", "name", "segment")
+    )
+)
 def session_statistics(spark, d):
     """Statistics follow the commits: rows that were deleted do not count."""
     db = _customers(spark, d)
@@ -833,7 +1016,9 @@ def session_statistics(spark, d):
 def journal_append(spark, d):
     """Sequences without a hole in the order of events, dealt to partitions by CRC-32C."""
     j = Journal(spark, workspace(spark, "journal"), 8)
-    j.append(_events(spark, d).select("seq", "path", "payload", "kind", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), 0, "seq")
+    j.append(
+        _events(spark, d).select("seq", "path", "payload", "kind", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), 0, "seq",
+    )
     return j.checked().select("seq", "part", "path", "kind")
 
 
@@ -857,7 +1042,10 @@ def journal_paths(spark, d):
     """Live paths of the journal: read from a published snapshot and the events after it."""
     j = Journal(spark, workspace(spark, "journal"), 4)
     e = _events(spark, d)
-    rows = e.select("seq", "path", F.when(~F.col("deleted"), F.col("payload")).alias("payload"), F.when(F.col("deleted"), "delete").otherwise("put").alias("operation"))
+    rows = e.select(
+        "seq", "path", F.when(~F.col("deleted"), F.col("payload")).alias("payload"),
+        F.when(F.col("deleted"), "delete").otherwise("put").alias("operation"),
+    )
     j.append(rows.where("seq <= 500"), 0, "seq")
     j.publish()
     j.append(rows.where("seq > 500"), 0, "seq")
@@ -869,7 +1057,13 @@ def journal_idempotent(spark, d):
     """Entries that repeat a producer's key resolve to the first one; original numbers are carried in the payload."""
     j = Journal(spark, workspace(spark, "journal"), 4)
     e = _events(spark, d)
-    out = j.append(e.select("seq", "path", F.col("seq").cast("string").alias("payload"), F.col("kind").alias("producer_id"), F.col("user_id").cast("string").alias("idem_key")), 0, "seq")
+    out = j.append(
+        e.select(
+            "seq", "path", F.col("seq").cast("string").alias("payload"), F.col("kind").alias("producer_id"),
+            F.col("user_id").cast("string").alias("idem_key"),
+        ),
+        0, "seq",
+    )
     kept = j.read().select("seq", F.col("payload").cast("long").alias("first_seq"))
     return out.join(kept, "seq").select("path", "first_seq", "replay")
 
@@ -901,7 +1095,9 @@ UNION ALL SELECT '_streams/out/' || path FROM ({_EV}) WHERE path = 'purchase/7')
 def stream_ingest(spark, d):
     """A stream's entries within its scope, once each though the stream runs twice from nothing, and what a trigger forwards."""
     j, home = Journal(spark, workspace(spark, "journal"), 4), workspace(spark, "stream")
-    triggers = spark.createDataFrame([("t", "purchase", "purchase/7", "out")], "trigger_id string, on_kind string, path_prefix string, target string")
+    triggers = spark.createDataFrame(
+        [("t", "purchase", "purchase/7", "out")], "trigger_id string, on_kind string, path_prefix string, target string",
+    )
     for k in range(2):
         source = _stream(spark, d, "path, payload, kind")
         flows.ingest(source, flows.StreamSpec("s", "purchase"), j, f"{home}/{k}", triggers).awaitTermination()
@@ -925,7 +1121,9 @@ def stream_delivery(spark, d):
     before = spark.conf.get(store, None)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = flows.deliver(acts).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
+        out = flows.deliver(acts).writeStream.format("parquet").option("path", f"{home}/out").option(
+            "checkpointLocation", f"{home}/checkpoint",
+        )
         out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
@@ -985,7 +1183,10 @@ def group_run(spark, d):
     return spark.createDataFrame(out, "part long, seq long, outcome string")
 
 
-@query("SELECT * FROM (VALUES ('same plan, same fingerprint', true), ('another plan, another fingerprint', true), ('explain shows the scan', true)) v(rule, holds)")
+@query(
+    "SELECT * FROM (VALUES ('same plan, same fingerprint', true), ('another plan, another fingerprint', true), ('explain shows the "
+    "scan', true)) v(rule, holds)"
+)
 def session_plans(spark, d):
     db = _session(spark, d, "orders")
     one, two, other = (db.sql(f"SELECT o_orderkey FROM orders WHERE o_custkey = {k}") for k in (1, 1, 2))
