@@ -319,6 +319,12 @@ def test_odd_spacing_keeps_a_licence(spark, text):
     assert licenses.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == "Proprietary"
 
 
+def test_creative_commons_notices(spark):
+    notice = "This work is licensed under a Creative Commons Attribution{} 4.0\nInternational License. To view a copy of this license, visit the site."
+    docs = spark.createDataFrame([(i, "Some words before.\n" + notice.format(k)) for i, k in enumerate(("", "-ShareAlike", "-NonCommercial"))], "doc_id long, text string")
+    assert [r.licenses for r in licenses.recognise(docs).orderBy("doc_id").collect()] == ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+
+
 def test_every_known_sentence_has_a_trigger_and_is_normal():
     for s in licenses.SENTENCES:
         assert re.sub("[^a-z0-9]+", " ", s).strip() == s

@@ -69,6 +69,10 @@ FULL_SENTENCES = {
     _BINARY: "bsd-binary",
     _BINARY.replace("redistributions in binary", "and redistributions in binary"): "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    **{
+        f"this work is licensed under a creative commons attribution{kind} 4 0 international license": f"cc-by{short}-4-ref"
+        for kind, short in (("", ""), (" sharealike", "-sa"), (" noncommercial", "-nc"))
+    },
     _ISC.format(""): "isc-grant",
     _ISC.format(" or"): "isc-grant",
     "this source code form is subject to the terms of the mozilla public license v": "mpl2-ref",  # the sentence ends at "v."
