@@ -8,6 +8,7 @@ sequence are neighbours on the curve, and only the last sequence is padded.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from tidemark.llm.common import Scratch, lean, mix64, rows
 from tidemark.llm.tokens import coder, tokenizer_json
 
 DIMS, BITS = 4, 12
-#: Bytes of ids that one task of the range sort takes.
-SORT_BYTES = 64 << 20
+#: Bytes of ids that one task of the range sort takes: the lower bound at small sizes, the upper one where there are over SORT_TASKS such tasks.
+SORT_BYTES, SORT_TASKS = (16 << 20, 128 << 20), 4000
 
 
 def directions(vocabulary: int, dims: int = DIMS) -> np.ndarray:
@@ -139,8 +140,9 @@ def pack(
         ),
         "coded",
     )
-    size = coded.agg(F.sum("doc_tokens")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, 4 * size // SORT_BYTES + 1)
+    size = (coded.agg(F.sum("doc_tokens")).first()[0] or 0) * (2 if len(json.loads(spec)["model"]["vocab"]) <= 1 << 16 else 4)
+    each = min(max(size // SORT_TASKS, SORT_BYTES[0]), SORT_BYTES[1])
+    tasks = max(spark.sparkContext.defaultParallelism, size // each + 1)
     ordered = coded.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn(
         "part", F.spark_partition_id(),
     )
