@@ -174,6 +174,7 @@ def test_queries(db):
     assert rows(db, "SELECT id % 2 AS odd, count(*) FROM o GROUP BY id % 2 ORDER BY odd DESC") == [(1, 3), (0, 2)]
     assert rows(db, "SELECT id FROM o OFFSET 5") == [] and rows(db, "SELECT id FROM o LIMIT 0") == []
     assert rows(db, "SELECT user_id FROM o GROUP BY user_id HAVING sum(amount) > 5.0 ORDER BY user_id") == [(1,), (None,)]
+    assert rows(db, "SELECT sum(1), sum(1.0), count(1), count(TRUE) FROM o") == [(5, 5.0, 5, 5)]
     assert rows(db, "SELECT current_database(), current_schema(), version()")[0][:2] == ("default", "public")
     # beyond the grammar: Spark's parser over the same tables
     assert rows(

@@ -920,6 +920,17 @@ def session_catalog(spark, d):
     return columns.unionByName(indexes).unionByName(views)
 
 
+@query("SELECT * FROM (VALUES (1, 'b_table'), (1, 'c_table'), (2, 'd_table')) v(page, name)")
+def session_pages(spark, d):
+    """Names of tables in pages of two, from a cursor on and with a part of the name."""
+    db = _session(spark, d)
+    for n in ("d_table", "b_table", "other", "c_table", "a_table"):
+        db.sql(f"CREATE TABLE {n} (a INT)")
+    first = db.objects("table", "a_table", 2, "_table")
+    second = db.objects("table", "c_table", 2, "_table")
+    return first.select(F.lit(1).alias("page"), "name").unionByName(second.select(F.lit(2).alias("page"), "name"))
+
+
 @query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000")
 def session_view(spark, d):
     db = _customers(spark, d)
