@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -455,6 +456,44 @@ def test_packing_covers_every_id_once(spark, docs, empty):
     assert pack.pack(spark, empty, VOCABULARY).collect() == []
 
 
+def test_cutting_needs_no_vocabulary_and_frees_what_a_worker_remembers(monkeypatch):
+    from tidemark.llm import common
+    from tidemark.llm.tokens import Coder, id_type, tokenizer_json
+
+    spec = tokenizer_json(VOCABULARY)
+    coder = Coder(spec)
+    assert coder.dtype == np.dtype(id_type(spec)) and coder.tokenizer.get_vocab_size() <= 1 << 16
+    monkeypatch.setattr(pack, "coder", None)
+    common.worker_cache("coder of an earlier step", list)
+    ids = np.arange(2500, dtype="<u2").tobytes()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7], "doc_tokens": [2500], "ids": [ids], "at": [1000]})
+    got = list(common.lean(functools.partial(pack.cut, width=id_type(spec), length=1024), forget=True)(iter([batch])))
+    assert [(r["start"], r["length"], r["sequence_id"], r["offset"]) for r in got[0].to_pylist()] == [
+        (0, 24, 0, 1000), (24, 1024, 1, 0), (1048, 1024, 2, 0), (2072, 428, 3, 0),
+    ]
+    assert b"".join(r["ids"] for r in got[0].to_pylist()) == ids
+    made = []
+    common.worker_cache("coder of an earlier step", lambda: made.append(1))
+    common.worker_forget()
+    assert made == [1]
+
+
+def test_scratch_reads_few_rows_at_once_where_the_session_has_no_choice(spark):
+    from tidemark.llm import common
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4096")
+        common.Scratch(spark, "rows").clear()
+        assert spark.conf.get(name) == str(common.READ_ROWS)
+        spark.conf.set(name, "3000")
+        common.Scratch(spark, "rows").clear()
+        assert spark.conf.get(name) == "3000"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_neighbours_on_the_curve_are_packed_together(spark):
     rng = np.random.default_rng(41)
     topics = [[WORDS[i] for i in rng.choice(len(WORDS), 12, replace=False)] for _ in range(8)]

@@ -19,7 +19,13 @@ LOCAL_DIR = "file:///tmp/checkpoints/tidemark"
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Rows in a batch that goes to a Python worker; with whole texts Spark's default of 10,000 takes too much memory on both sides.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that the Parquet reader holds at once; with whole texts its default of 4,096 makes arrays of many MB, which the collector places apart and the heap grows for.
+READ_ROWS = 512
+#: setting -> Spark's default, ours
+_ROWS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", READ_ROWS),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +53,9 @@ class Scratch:
     live: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, label: str):
-        if spark.conf.get(_BATCH, "10000") == "10000":  # a session's own choice stands
-            spark.conf.set(_BATCH, BATCH_ROWS)
+        for name, (default, ours) in _ROWS.items():
+            if spark.conf.get(name, default) == default:  # a session's own choice stands
+                spark.conf.set(name, ours)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex[:12]}"
         Scratch.live.append(self)
 
@@ -99,10 +106,21 @@ def worker_cache(name: str, make):
     return held[name]
 
 
-def lean(run):
-    """``run`` over a task's batches; what it freed goes back to the system at the task's end, so that idle workers stay small."""
+def worker_forget() -> None:
+    """Gives up what :func:`worker_cache` holds."""
+    if home := sys.modules.get("_tidemark_worker_cache"):
+        home.__dict__.get("held", {}).clear()
+
+
+def lean(run, forget: bool = False):
+    """``run`` over a task's batches; what it freed goes back to the system at the task's end, so that idle workers stay small.
+
+    ``forget``: for tasks without a remembered object, which first give up that of an earlier step.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:
+            worker_forget()
         try:
             yield from run(batches)
         finally:

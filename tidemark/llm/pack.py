@@ -8,9 +8,9 @@ sequence are neighbours on the curve, and only the last sequence is padded.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, lean, mix64, rows
-from tidemark.llm.tokens import coder, tokenizer_json
+from tidemark.llm.tokens import coder, id_type, tokenizer_json
 
 DIMS, BITS = 4, 12
 #: Bytes of ids that one task of the range sort takes: the lower bound at small sizes, the upper one where there are over SORT_TASKS such tasks.
@@ -66,6 +66,27 @@ def cells(means: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.minimum((squashed * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
 
+def cut(batches: Iterator[pa.RecordBatch], width: str, length: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of documents that begin at ``at`` of the stream; ``width`` is the type of their ids, so that no vocabulary is needed."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for doc_id, n, blob, at in rows(batch, "doc_id", "doc_tokens", "ids", "at"):
+            ids, start = np.frombuffer(blob, width), 0
+            while start < n:
+                seq, off = divmod(at + start, length)
+                k = min(length - off, n - start)
+                piece = ids[start : start + k]
+                for column, v in zip(
+                    out, (doc_id, start, k, zlib.crc32(piece.astype("<u4").tobytes()), n, seq, off, piece.tobytes()), strict=True,
+                ):
+                    column.append(v)
+                start += k
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(out)],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+        )
+
+
 def pack(
     spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024, scratch: Scratch | None = None,
 ) -> DataFrame:
@@ -114,39 +135,20 @@ def pack(
             )
             at = int(ends[-1]) if len(ends) else at
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = coder(spec).dtype
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc_id, n, blob, at in rows(batch, "doc_id", "doc_tokens", "ids", "at"):
-                ids, start = np.frombuffer(blob, width), 0
-                while start < n:
-                    seq, off = divmod(at + start, length)
-                    k = min(length - off, n - start)
-                    piece = ids[start : start + k]
-                    for column, v in zip(
-                        out, (doc_id, start, k, zlib.crc32(piece.astype("<u4").tobytes()), n, seq, off, piece.tobytes()), strict=True,
-                    ):
-                        column.append(v)
-                    start += k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(out)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
-
     coded = scratch.save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             lean(encode), "doc_id long, key long, doc_tokens long, ids binary",
         ),
         "coded",
     )
-    size = (coded.agg(F.sum("doc_tokens")).first()[0] or 0) * (2 if len(json.loads(spec)["model"]["vocab"]) <= 1 << 16 else 4)
+    width = id_type(spec)
+    size = (coded.agg(F.sum("doc_tokens")).first()[0] or 0) * np.dtype(width).itemsize
     each = min(max(size // SORT_TASKS, SORT_BYTES[0]), SORT_BYTES[1])
     tasks = max(spark.sparkContext.defaultParallelism, size // each + 1)
     ordered = coded.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id", "doc_tokens").withColumn(
         "part", F.spark_partition_id(),
     )
-    placed = scratch.save(ordered.mapInArrow(lean(place), "doc_id long, doc_tokens long, ids binary, part int, local long"), "placed")
+    placed = scratch.save(ordered.mapInArrow(lean(place, forget=True), "doc_id long, doc_tokens long, ids binary, part int, local long"), "placed")
     scratch.drop("coded")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("part").agg(F.sum("doc_tokens").alias("total")).select(
@@ -156,5 +158,6 @@ def pack(
         "doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("at"),
     )  # bases: a row for each partition
     return located.mapInArrow(
-        lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
+        lean(partial(cut, width=width, length=length), forget=True),
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
     )

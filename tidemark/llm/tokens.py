@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -18,6 +19,12 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
+def id_type(spec: str) -> str:
+    """The type that holds every id of a vocabulary, added tokens included: two bytes where they do."""
+    known = json.loads(spec)
+    return "<u2" if len({*known["model"]["vocab"], *(t["content"] for t in known.get("added_tokens", ()))}) <= 1 << 16 else "<u4"
+
+
 class _Pieces(dict):
     """chunk of text -> the bytes of its ids; ``prefix`` stands before each chunk.
 
@@ -68,7 +75,7 @@ class Coder:
         self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype(id_type(spec))
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # ids of machine order; the files say little-endian
         self.byte_map = {}
